@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +65,17 @@ def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors, once per application, for those whose Python path lacks it."""
+    context = spark.sparkContext
+    if getattr(context, "_siltstone_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = os.path.join(tempfile.mkdtemp(prefix="siltstone-"), "siltstone.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(target)
+    context._siltstone_shipped = True

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, quality, sharding
+from . import chat, decontam, minhash, quality, sharding
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_decontamination": decontam.op3_decontamination,
+    "op8_minhash": minhash.op8_minhash,
     "op9_chat": chat.op9_chat,
     "op10_sharding": sharding.op10_sharding,
 }
 SQL = {
     "op2_quality": quality.OP2_SQL,
     "op3_decontamination": decontam.OP3_SQL,
+    "op8_minhash": minhash.OP8_SQL,
     "op9_chat": chat.OP9_SQL,
     "op10_sharding": sharding.OP10_SQL,
 }

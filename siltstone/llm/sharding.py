@@ -81,20 +81,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def _crc_table() -> list[int]:
+    table = list(range(256))
+    for _ in range(8):
+        table = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
 OP10_SQL = f"""
-WITH RECURSIVE crc(i, c, j) AS (
-  SELECT i, i::BIGINT, 0 FROM range(16) r(i)
-  UNION ALL
-  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, j + 1 FROM crc WHERE j < 4),
-tab AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE j = 4),
-d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, hex(encode(coalesce(text, ''))) AS hx FROM documents),
 b AS (
   SELECT doc_id, k, (length(hx) // 2 + {ROW_OVERHEAD})::BIGINT AS size,
     ('0x' || substr(md5(k || ':slot'), 1, {_BITS // 4}))::BIGINT AS h,
-    list_prepend(4294967295::BIGINT, list_transform(range(length(hx)), lambda x: ('0x' || substr(hx, 2 * (x // 2) + 2 - x % 2, 1))::BIGINT)) AS nibbles FROM d),
+    list_prepend(4294967295::BIGINT, list_transform(range(length(hx) // 2), lambda x: ('0x' || substr(hx, 2 * x + 1, 2))::BIGINT)) AS bytes FROM d),
 p AS (
   SELECT doc_id, k, size, h,
-    xor(list_reduce(nibbles, lambda a, y: xor(a >> 4, t[(xor(a, y) & 15) + 1])), 4294967295::BIGINT) AS text_crc32 FROM b, tab),
+    xor(list_reduce(bytes, lambda a, y: xor(a >> 8, ({_crc_table()}::BIGINT[])[(xor(a, y) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM b),
 u AS (
   SELECT p.k, s, -1.0 / ln((('0x' || substr(md5(p.k || ':' || s), 1, {_BITS // 4}))::BIGINT + 0.5) / {1 << _BITS}.0) AS score
   FROM (SELECT DISTINCT k FROM p) p, range({SHARDS + 1}) r(s)),
