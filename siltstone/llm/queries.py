@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, minhash, quality, sharding
+from . import bpe, chat, decontam, minhash, quality, sharding
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_decontamination": decontam.op3_decontamination,
+    "op5_bpe": bpe.op5_bpe,
     "op8_minhash": minhash.op8_minhash,
     "op9_chat": chat.op9_chat,
     "op10_sharding": sharding.op10_sharding,
