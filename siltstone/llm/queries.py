@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, minhash, quality, sharding
+from . import bpe, chat, decontam, html, minhash, quality, secrets, sharding, simple8b
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_decontamination": decontam.op3_decontamination,
     "op5_bpe": bpe.op5_bpe,
+    "op4_secrets": secrets.op4_secrets,
+    "op6_html": html.op6_html,
+    "op7_token_blocks": simple8b.op7_token_blocks,
     "op8_minhash": minhash.op8_minhash,
     "op9_chat": chat.op9_chat,
     "op10_sharding": sharding.op10_sharding,
