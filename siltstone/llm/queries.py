@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, html, minhash, quality, secrets, sharding, simple8b
+from . import bpe, chat, decontam, html, langid, minhash, quality, secrets, sharding, simple8b
 
 QUERIES = {
+    "op1_language": langid.op1_language,
     "op2_quality": quality.op2_quality,
     "op3_decontamination": decontam.op3_decontamination,
     "op5_bpe": bpe.op5_bpe,
