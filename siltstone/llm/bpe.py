@@ -241,7 +241,7 @@ def decode_ids(flat: np.ndarray, ends: np.ndarray, vocabulary: str = VOCABULARY)
     return raw, at[ends]
 
 
-def _decode(vocabulary: str, summary: bool) -> Callable:
+def _decode(vocabulary: str, summary: bool, with_ids: bool = False) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bounds = np.asarray(batch.column(1).offsets).astype(np.int64)
@@ -255,14 +255,16 @@ def _decode(vocabulary: str, summary: bool) -> Callable:
                 ids = batch.column(0).slice(begin, end - begin)
                 if summary:
                     words, data = memoryview(flat.astype("<u4").tobytes()), memoryview(raw.tobytes())
+                    kept = [batch.column(1).slice(begin, end - begin)] if with_ids else []
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids,
                             pa.array(sizes[begin:end]),
                             pa.array([hashlib.sha256(words[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]),
                             pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]),
+                            *kept,
                         ],
-                        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids,
                     )
                 else:
                     data = raw.tobytes()
@@ -279,11 +281,13 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(_decode(vocabulary, False), f"id {kind}, bytes binary")
 
 
-def digests(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the rows (id, ids): the ids are decoded to make the last."""
+def digests(encoded: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 (and ids) of the rows (id, ids): the ids are decoded for the last digest."""
     ship(encoded.sparkSession)
     kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.select("id", "ids").mapInArrow(_decode(vocabulary, True), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("id", "ids").mapInArrow(
+        _decode(vocabulary, True, with_ids), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    )
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,9 +72,13 @@ def _hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
     return seeds.join(items, "h").select("id", "t", "item_id", "from", (place(F.col("n")).cast("int") - F.col("ip")).alias("shift")).distinct()
 
 
-def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per contaminated document and item: doc_id, item_id, n_windows, best_matches, first_token and end_token (exclusive)."""
-    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), token_hashes(F.col(text_col)).alias("w"))
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _verified(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """id, t (the text's hash), and m (item_id, at, size, matches) of every hit that counts."""
+    plain = docs.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("t"), token_hashes(F.col(text_col)).alias("w"))
     items = bench.select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text_col)).alias("w")).filter(F.size("w") >= SPAN).distinct()
     hits = _hits(plain, items)
     # Each hit gets its window of the item; a document's hits meet its tokens once.
@@ -89,24 +93,28 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
         same = F.filter(x["part"], lambda v, j: (x["at"] + j >= 0) & F.coalesce(F.get("w", x["at"] + j) == v, F.lit(False)))
         return F.struct(x["item_id"].alias("item_id"), x["at"].alias("at"), F.size(x["part"]).alias("size"), F.size(same).alias("matches"))
 
-    seen = both.select("id", "t", F.explode(F.transform("windows", matches)).alias("m")).filter("100 * m.matches >= " + f"{MIN_PERCENT} * m.size")
+    return both.select("id", "t", F.explode(F.transform("windows", matches)).alias("m")).filter(f"100 * m.matches >= {MIN_PERCENT} * m.size")
+
+
+def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Per contaminated document and item: doc_id, item_id, n_windows, best_matches, first_token and end_token (exclusive)."""
+    seen = _verified(docs, bench, id_col, text_col, item_col, item_text_col).select("id", "m.*")
     return (
-        seen.distinct()
-        .groupBy("id", "m.item_id")
+        seen.groupBy("id", "item_id")
         .agg(
-            F.count_distinct("m.at").alias("n_windows"),
-            F.max("m.matches").cast("long").alias("best_matches"),
-            F.min(F.greatest("m.at", F.lit(0))).cast("long").alias("first_token"),
-            F.max(F.col("m.at") + F.col("m.size")).cast("long").alias("end_token"),
+            F.count_distinct("at").alias("n_windows"),
+            F.max("matches").cast("long").alias("best_matches"),
+            F.min(F.greatest("at", F.lit(0))).cast("long").alias("first_token"),
+            F.max(F.col("at") + F.col("size")).cast("long").alias("end_token"),
         )
         .withColumnRenamed("id", "doc_id")
     )
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id has no verified overlap with the benchmark, with the columns they came with."""
-    bad = overlaps(docs, bench, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has no verified overlap with the benchmark, with the columns they came with."""
+    bad = _verified(docs, bench, id_col, text_col, item_col, item_text_col).select("id", "t").distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["id"]) & (_text_hash(text_col) == bad["t"]), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

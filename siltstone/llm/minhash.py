@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import read, ship, written
+from .common import key_name, read, ship, written
 
 #: Coordinates of a signature, and the collisions that a candidate pair needs.
 K, T = 24, 9
@@ -245,9 +245,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Similarity | None = None) -> DataFrame:
-    """One row of ``docs`` for each component: that of the least id; among rows of that id the least as a whole."""
-    kept = near_duplicates(docs, id_col, text_col, similarity).filter("kept").select(F.col("doc_id").alias("__kept"), F.col("n_shingles").alias("__n")).distinct()
-    return docs.join(kept.select("__kept").distinct(), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    """One row of ``docs`` for each component: the one of the least id (null last), then of the least hash of all columns."""
+    key = key_name(docs, "row_key")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash")))
+    kept = near_duplicates(keyed, key, text_col, similarity).filter("kept").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
