@@ -37,7 +37,7 @@ from .common import read, ship, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters in a unit, about; a longer text is a unit by itself.
-UNIT_CHARS = 4_000_000
+UNIT_CHARS = 1_500_000
 #: Ids that one output batch holds, about.
 BATCH_IDS = 1_000_000
 
