@@ -41,7 +41,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 0
 CHUNK = 8192
 #: Characters that a block's texts hold, about; a longer text is a block by itself.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
 #: Words whose ids a worker remembers between blocks.
 REMEMBERED = 1_000_000
 
