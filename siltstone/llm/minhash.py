@@ -11,14 +11,16 @@ with ``T`` collisions or more, and then:
   for two classes with ``T`` in common share one of those.  A very common value
   is posted only by classes that have hardly any other.
 
-Groups of copies are linked without making their pairs: in each posting list
+Groups of copies are linked without making their pairs.  In each posting list
 all classes meet the one whose values are the commonest (the text that the
-copies were made from, as a rule), links are contracted to components, and
-lists of one component are done.  After two such rounds what is left is made
-pairs of: classes outside a list's main component with all that are not of
-their own.  So every pair with a common posting is either in one component or
-compared.  A pair is linked after collisions are counted and both full sets
-are compared.
+copies were made from, as a rule); links are contracted to components, and
+lists of one component are done.  Short lists are compared pair by pair.  In
+the others, classes that share too few shingles with any other component
+leave, then all meet one from outside the list's main component.  What is left
+then is made pairs of: classes outside the main component with all that are
+not of their own, where the shared shingles allow it.  So every pair with a
+common posting is in one component, or compared, or too far apart for certain.
+A pair is linked after collisions are counted and both full sets are compared.
 
 Defined results: null and empty texts have the empty set, a component of their
 own and are kept; a null id never names a component unless all its members'
@@ -41,6 +43,8 @@ from .common import key_name, read, ship, written
 
 #: Coordinates of a signature, and the collisions that a candidate pair needs.
 K, T = 24, 9
+#: Posting lists of so many classes or fewer are compared pair by pair.
+SHORT = 16
 #: Texts are worked on in blocks of so many characters.
 BLOCK_CHARS = 4_000_000
 
@@ -174,6 +178,31 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
+def _similar(percent: int, n: Column, m: Column, both: Column) -> Column:
+    """Whether sets of ``n`` and ``m`` with ``both`` in common are similar."""
+    return 100 * both >= percent * (n + m - both)
+
+
+def _main(posts: DataFrame) -> DataFrame:
+    """The component with the most classes in each list."""
+    sizes = posts.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    return sizes.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+
+
+def _within_reach(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``posts`` with ``shared``, the shingles of a class that one of another component has too.
+
+    A pair to be compared has no more in common than either's ``shared``:
+    classes that differ too much from all other components (copies changed too
+    far to be linked, as a rule) leave, and the rest have a bound for each pair.
+    """
+    nodes = posts.select("node", "label").distinct()
+    shingles = sets.join(nodes, "node").select("node", "label", F.explode("set").alias("s"))
+    common = shingles.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("s")
+    shared = shingles.join(common, "s").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    return written(posts.drop("shared").join(shared, "node").filter(f"100 * shared >= {percent} * n"), "postings")
+
+
 class _Linker:
     """Compares pairs of classes; keeps what has been compared and linked."""
 
@@ -181,17 +210,14 @@ class _Linker:
         self.classes, self.sets, self.percent = classes.select("node", "n", "sig"), sets, percent
         self.links: DataFrame | None = None
 
-    def _similar(self, n: Column, m: Column, both: Column) -> Column:
-        return 100 * both >= self.percent * (n + m - both)
-
     def compare(self, pairs: DataFrame) -> int:
         """Adds the linked ones of ``pairs`` (a, b)."""
         of = lambda side: self.classes.toDF(side, f"n{side}", f"s{side}")
         collisions = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
-        close = pairs.join(of("a"), "a").join(of("b"), "b").filter(self._similar(F.col("na"), F.col("nb"), F.least("na", "nb"))).filter(collisions >= T).select("a", "b")
+        close = pairs.join(of("a"), "a").join(of("b"), "b").filter(_similar(self.percent, F.col("na"), F.col("nb"), F.least("na", "nb"))).filter(collisions >= T).select("a", "b")
         both = F.size(F.array_intersect("xa", "xb"))
         full = close.join(self.sets.toDF("a", "xa"), "a").join(self.sets.toDF("b", "xb"), "b")
-        found = written(full.filter(self._similar(F.size("xa"), F.size("xb"), both)).select("a", "b"), "links")
+        found = written(full.filter(_similar(self.percent, F.size("xa"), F.size("xb"), both)).select("a", "b"), "links")
         self.links = found if self.links is None else self.links.union(found)
         return found.count()
 
@@ -218,16 +244,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     sets = written(made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "sets")
     linker = _Linker(classes, sets, like.percent)
 
-    for _ in range(2):
-        by = F.struct("score", "node")
-        hub = posts.groupBy("token").agg(F.max_by(F.struct("node", "label"), by).alias("hub"))
-        pairs = posts.join(hub, "token").filter("label <> hub.label").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-        linker.compare(pairs)
-        posts = linker.label(posts)
-    main = posts.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    stray = posts.join(main, "token").filter("label <> main").select("token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    rest = stray.join(posts.select("token", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb")), "token").filter("la <> lb")
-    pairs = rest.filter(f"100 * least(na, nb) >= {like.percent} * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    by = F.struct("score", "node")
+    node = lambda side: F.col("node").alias(side)
+
+    def meet(hubs: DataFrame) -> DataFrame:
+        hub = hubs.groupBy("token").agg(F.max_by(F.struct("node", "label"), by).alias("hub"))
+        return posts.join(hub, "token").filter("label <> hub.label").select(node("a"), F.col("hub.node").alias("b")).distinct()
+
+    linker.compare(meet(posts))
+    posts = linker.label(posts)
+    short = posts.join(posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= SHORT), "token", "left_semi")
+    linker.compare(short.select("token", node("a"), F.col("label").alias("la")).join(short.select("token", node("b"), F.col("label").alias("lb")), "token").filter("a < b and la <> lb").select("a", "b").distinct())
+    posts = _within_reach(linker.label(posts), sets, like.percent)
+    linker.compare(meet(posts.join(_main(posts), "token").filter("label <> main")))
+    posts = _within_reach(linker.label(posts), sets, like.percent)
+    main = _main(posts)
+    named = lambda rows, side: rows.select("token", F.col("node").alias(side), F.col("label").alias(f"l{side}"), F.col("n").alias(f"n{side}"), F.col("shared").alias(f"c{side}"))
+    rest = named(posts.join(main, "token").filter("label <> main"), "a").join(named(posts, "b"), "token")
+    pairs = rest.filter("la <> lb").filter(_similar(like.percent, F.col("na"), F.col("nb"), F.least("ca", "cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     linker.compare(pairs)
 
     labels = components(linker.links)
