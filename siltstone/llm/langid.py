@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, ship
+from .common import read, ship, written
 
 UNKNOWN = "und"
 #: Upper ends of script ranges (code points, end exclusive) and the scripts (fixed values, from the Unicode blocks).
@@ -56,7 +56,7 @@ REMEMBERED = 500_000
 @dataclass(frozen=True)
 class Params:
     rows: int = 1500  # training texts of a language
-    features: int = 150_000
+    features: int = 60_000
     penalty: float = 8.0
     smoothing: float = 0.2
     script_share: float = 0.001  # of a language's letters, for it to be a candidate in that script
@@ -87,7 +87,7 @@ def words_of(text: str) -> list[str]:
 
 def word_features(word: str) -> list[str]:
     w = f"^{word.lower()}$"
-    return [w, *[w[i : i + 3] for i in range(len(w) - 2)]] if len(w) > 3 else [w]
+    return [w, *[w[i : i + 3] for i in range(len(w) - 2)]]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,29 +112,29 @@ def train(rows: DataFrame, params: Params | None = None) -> Model:
     single = keyed.groupBy("t").agg(F.min("lang").alias("lang"), F.max("lang").alias("other"), F.min("h").alias("h")).filter("lang = other")
     chosen = single.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).filter(F.col("r") <= params.rows)
     sample = keyed.join(F.broadcast(chosen.select("lang", "t", "h")), ["lang", "t", "h"], "left_semi").dropDuplicates(["lang", "t"])
-    totals = sample.select("lang", "text").mapInArrow(_count, "lang string, feature string, n bigint").groupBy("feature").agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")
-    )
-    scripts = totals.filter(F.col("feature").startswith("\x00")).collect()
-    found = totals.filter(~F.col("feature").startswith("\x00")).orderBy(F.desc("total"), "feature").limit(params.features).collect()
-    langs = sorted({x["lang"] for r in found for x in r["by"]})
+    counted = sample.select("lang", "text").mapInArrow(_count, "lang string, feature string, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    counted = written(counted, "feature-counts")
+    is_script = F.col("feature").startswith("\x00")
+    top = counted.filter(~is_script).groupBy("feature").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "feature").limit(params.features)
+    # Two columns of strings and one of numbers, at most ``features`` times the languages.
+    found = counted.join(top.select("feature"), "feature", "left_semi").unionByName(counted.filter(is_script)).select("lang", "feature", "n").toArrow().to_pydict()
+    langs = sorted(set(found["lang"]))
     at = {lang: i for i, lang in enumerate(langs)}
-    counts = np.zeros((len(found) + 1, len(langs)))
-    for i, r in enumerate(found):
-        for x in r["by"]:
-            counts[i, at[x["lang"]]] += x["n"]
-    whole = np.array([len(r["feature"]) > 3 and r["feature"][0] == "^" and r["feature"][-1] == "$" for r in found] + [False], bool)
-    logs = np.zeros_like(counts)
+    names = sorted({f for f in found["feature"] if f[0] != "\x00"})
+    model = Model(langs, params, {f: i for i, f in enumerate(names)})
+    counts = np.zeros((len(names) + 1, len(langs)))
+    letters = {f[1:]: np.zeros(len(langs)) for f in found["feature"] if f[0] == "\x00"}
+    for lang, feature, n in zip(found["lang"], found["feature"], found["n"], strict=True):
+        if feature[0] == "\x00":
+            letters[feature[1:]][at[lang]] += n
+        else:
+            counts[model.rows[feature], at[lang]] += n
+    whole = np.array([f[0] == "^" and f[-1] == "$" for f in names] + [False], bool)
+    model.logs = np.zeros_like(counts)
     for kind in (whole, ~whole):  # words and trigrams are two distributions
         own = counts[kind] + params.smoothing
-        logs[kind] = np.log(own / own.sum(0))
-    model = Model(langs, params, {r["feature"]: i for i, r in enumerate(found)}, logs)
-    share = np.zeros(len(langs))
-    letters = {r["feature"][1:]: np.zeros(len(langs)) for r in scripts}
-    for r in scripts:
-        for x in r["by"]:
-            letters[r["feature"][1:]][at[x["lang"]]] += x["n"]
-            share[at[x["lang"]]] += x["n"]
+        model.logs[kind] = np.log(own / own.sum(0))
+    share = sum(letters.values(), np.zeros(len(langs)))
     model.scripts = {s: n >= params.script_share * np.maximum(share, 1) for s, n in letters.items()}
     return model
 
