@@ -130,8 +130,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that every rule passes, with the columns they came with."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(whole.alias("row"), F.col(text_col).alias("text"))
-    return quality_rules(rows, "row", "text").filter("kept").select("doc_id.*")
+    judged = quality_rules(docs.select(whole.alias("row"), F.col(text_col).alias("text")), "row", "text")
+    # A filter on the verdict would be pushed below the counts and make each of them again for every rule that names it;
+    # a generator's output stays above them.
+    row = F.explode_outer(F.when(F.col("kept"), F.array("doc_id"))).alias("row")
+    return judged.select(row).filter(F.col("row").isNotNull()).select("row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
