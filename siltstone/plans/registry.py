@@ -346,7 +346,7 @@ query(
     f"""{_windows} SELECT c.*, {_ratio("user_activity_7d", "user_activity_30d", "user_ratio_7_30")}, {_ratio("user_activity_30d", "user_activity_90d", "user_ratio_30_90")}, {_ratio("movie_recent_7d", "movie_recent_30d", "movie_ratio_7_30")}
 FROM candidates c JOIN user_activity USING (cand_id) JOIN movie_recent USING (cand_id)""",
 )(lambda v: _activity(v, "ratio"))
-query("replay_shards", f"WITH {Q.BASE}, {_hist} SELECT {U}, {M}, rating, {T}, ((row_number() OVER (ORDER BY {T}, {U}, {M}) - 1) // ceil(count(*) OVER () / 24.0))::INT AS shard FROM hist")(lambda v: replay.replay_shards(v.history, 24))
+query("replay_shards", f"WITH {Q.BASE}, {_hist} SELECT {U}, {M}, rating, {T}, floor((row_number() OVER (ORDER BY {T}, {U}, {M}) - 1) / ceil(count(*) OVER () / 24.0))::INT AS shard FROM hist")(lambda v: replay.replay_shards(v.history, 24))
 _profile = f"""{_hist}, last AS (SELECT max({T}) // 86400 AS d FROM hist),
 profile AS (SELECT {U}, genre, sum(power(0.5, (d - {T} // 86400) / 365.0)) AS weight FROM hist JOIN mg USING ({M}), last WHERE rating >= {THRESHOLD} GROUP BY ALL)"""
 query("profile_decay_final", f"WITH {Q.BASE}, {Q.GENRES}, {_profile} SELECT {U}, genre, {r9('weight')} FROM profile")(lambda v: replay.profile_closed_form(v.history, v.movies))
@@ -362,7 +362,7 @@ def _run(v: Views) -> tuple[dict[str, str], DataFrame]:
     root = f"{(v.spark.conf.get('spark.checkpoint.dir', None) or v.spark.sparkContext.getCheckpointDir()).rstrip('/')}/replay-{uuid.uuid4().hex}"
     parts = v.history.withColumn("rating", F.col("rating").cast("float"))
     sinks.write_replay(parts, f"{root}/events", 6)
-    return replay.run_stream(v.spark, f"{root}/events/*", f"{root}/out", f"{root}/checkpoint", v.movies, 2, seed=SEED, snapshot_batches=(0, 1, 2)), parts
+    return replay.run_stream(v.spark, f"{root}/events", f"{root}/out", f"{root}/checkpoint", v.movies, 2, seed=SEED, snapshot_batches=(0, 1, 2)), parts
 
 
 query("stream_user_daily", SQL["user_daily"])(lambda v: replay.merged_counts(v.spark.read.parquet(_run(v)[0]["user_daily"]), "userId"))

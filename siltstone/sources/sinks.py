@@ -65,10 +65,18 @@ def write_top(frame: DataFrame, path: str, meta_path: str | None = None, meta: d
         write_report(meta or {}, meta_path)
 
 
-def write_replay(history: DataFrame, path: str, n_files: int = 24) -> DataFrame:
-    """History in time order, dealt to ``n_files`` shards of near equal size, one directory each."""
+def write_replay(history: DataFrame, path: str, n_files: int = 24) -> None:
+    """History in time order as ``n_files`` files of near equal size.
+
+    A file stream takes files by their time of writing, so the shards are dealt
+    out in parallel and then moved into place one after the other.
+    """
     from ..streaming.replay import replay_shards
 
-    shards = replay_shards(history, n_files)
-    shards.repartitionByRange(n_files, "shard").sortWithinPartitions("shard", "timestamp", "userId", "movieId").write.mode("overwrite").partitionBy("shard").parquet(path)
-    return history.sparkSession.read.parquet(path).withColumn("shard", F.col("shard").cast("int"))
+    spark, order = history.sparkSession, ["timestamp", "userId", "movieId"]
+    staged = f"{path}-staged"
+    replay_shards(history, n_files).repartition(n_files, "shard").write.mode("overwrite").partitionBy("shard").parquet(staged)
+    shards = spark.read.schema(f"{history.schema.toDDL()}, shard int").parquet(staged)
+    for shard in range(n_files):
+        one = shards.filter(F.col("shard") == shard).drop("shard").coalesce(1).sortWithinPartitions(*order)
+        one.write.mode("overwrite" if not shard else "append").parquet(path)
