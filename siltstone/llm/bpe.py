@@ -36,8 +36,9 @@ from . import spans
 from .common import read, ship, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Characters in a unit, about; a longer text is a unit by itself.
-UNIT_CHARS = 1_500_000
+#: Characters in a unit, about, and in a block of texts that is cut at a time; a longer text is one by itself.
+UNIT_CHARS = 12_000_000
+BLOCK_CHARS = 1_000_000
 #: Ids that one output batch holds, about.
 BATCH_IDS = 1_000_000
 
@@ -93,6 +94,17 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Unsigned values in the narrowest type that holds them."""
+    top = int(values.max()) if len(values) else 0
+    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+
+
+def _steps(rising: np.ndarray) -> np.ndarray:
+    """The steps between rising numbers; their running sum gives the numbers back."""
+    return _narrow(np.diff(rising, prepend=0))
+
+
 def _planes(codes: np.ndarray) -> list[np.ndarray]:
     """The low and high bytes apart, which compress better than together."""
     raw = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -106,50 +118,75 @@ def _codes(planes: list[np.ndarray]) -> np.ndarray:
     return raw.reshape(-1).view("<u4")
 
 
-def _units(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    begin, chars = 0, 0
-    for i, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= UNIT_CHARS or i + 1 == len(texts):
-            yield begin, i + 1
-            begin, chars = i + 1, 0
+class _Unit:
+    """The distinct words of a unit, and the sequence of their numbers."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.hashes: list[np.ndarray] = []
+        self.codes: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.ids: list[pa.Array] = []
+        self.chars = 0
+
+    def add(self, ids: pa.Array, texts: list[str]) -> None:
+        cp, offsets = spans.code_points(texts)
+        starts, first = spans.pre_tokens(cp, offsets)
+        ends = np.append(starts[1:], len(cp))
+        codes, seen = spans.number(cp, starts, ends)
+        text, known = "".join(texts), self.known
+        before = len(known)
+        own = np.array([known.setdefault(text[a:b], len(known)) for a, b in zip(starts[seen].tolist(), ends[seen].tolist(), strict=True)], np.uint32)
+        fresh = seen[own >= before]
+        self.hashes.append(spans.span_hash(cp, starts[fresh], ends[fresh]))
+        self.codes.append(own[codes])
+        self.counts.append(np.diff(first))
+        self.ids.append(ids)
+        self.chars += len(cp)
+
+    def rows(self, unit: int, parts: int, id_type: pa.DataType) -> pa.RecordBatch:
+        """part, unit, kind, ids, data: words by part (kind 0), and the sequence (kind 1)."""
+        codes, hashes = np.concatenate(self.codes), np.concatenate(self.hashes)
+        # Words are numbered by frequency: small numbers are the common ones.
+        order = np.argsort(-np.bincount(codes, minlength=len(self.known)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        words, home = list(self.known), (hashes % np.uint64(parts)).astype(np.int64)[order]
+        rows = []
+        by_part = np.argsort(home, kind="stable")
+        edges = np.searchsorted(home[by_part], np.arange(parts + 1))
+        for p in range(parts):
+            own = by_part[edges[p] : edges[p + 1]]
+            if len(own):
+                raw = [words[i].encode() for i in order[own].tolist()]
+                rows.append((p, 0, _pack(_steps(own), _narrow(np.array([len(w) for w in raw])), np.frombuffer(b"".join(raw), np.uint8))))
+        rows.append((zlib.crc32(unit.to_bytes(8, "little")) % parts, 1, _pack(np.concatenate(self.counts).astype(np.uint32), *_planes(rank[codes]))))
+        ids = pa.concat_arrays(self.ids)
+        empty = pa.nulls(len(rows) - 1, pa.list_(id_type))
+        listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(empty.type)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([unit] * len(rows)), pa.array([r[1] for r in rows], pa.int32()), pa.concat_arrays([empty, listed]), pa.array([r[2] for r in rows], pa.binary())],
+            names=["part", "unit", "kind", "ids", "data"],
+        )
 
 
 def _spread(parts: int, id_type: pa.DataType) -> Callable:
-    """Texts to packed rows (part, unit, kind, ids, data): distinct words by part, and the unit's sequence of words."""
+    """Texts to packed rows (part, unit, kind, ids, data)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId(), 0
+        name, unit = TaskContext.get().partitionId() << 32, _Unit()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in _units(texts):
-                unit = (task << 32) + made
-                made += 1
-                part = [t or "" for t in texts[a:b]]
-                cp, offsets = spans.code_points(part)
-                starts, first = spans.pre_tokens(cp, offsets)
-                ends = np.append(starts[1:], len(cp))
-                codes, seen = spans.number(cp, starts, ends)
-                # Words are numbered by frequency: small numbers are the common ones.
-                order = np.argsort(-np.bincount(codes, minlength=len(seen)), kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                codes, seen = rank[codes], seen[order]
-                text = "".join(part)
-                words = [text[x:y] for x, y in zip(starts[seen].tolist(), ends[seen].tolist(), strict=True)]
-                home = (spans.span_hash(cp, starts[seen], ends[seen]) % np.uint64(parts)).astype(np.int64)
-                rows = []
-                for p in np.flatnonzero(np.bincount(home, minlength=parts)):
-                    own = np.flatnonzero(home == p)
-                    raw = [words[i].encode() for i in own.tolist()]
-                    rows.append((int(p), 0, _pack(own.astype(np.uint32), np.array([len(w) for w in raw], np.uint32), np.frombuffer(b"".join(raw), np.uint8))))
-                rows.append((zlib.crc32(unit.to_bytes(8, "little")) % parts, 1, _pack(np.diff(first).astype(np.uint32), *_planes(codes))))
-                empty = pa.nulls(len(rows) - 1, pa.list_(id_type))
-                listed = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), ids.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([unit] * len(rows)), pa.array([r[1] for r in rows], pa.int32()), pa.concat_arrays([empty, listed.cast(empty.type)]), pa.array([r[2] for r in rows], pa.binary())],
-                    names=["part", "unit", "kind", "ids", "data"],
-                )
+            ids, texts, a, chars = batch.column(0), batch.column(1).to_pylist(), 0, 0
+            for i, t in enumerate(texts):
+                chars += len(t or "")
+                if chars >= BLOCK_CHARS or i + 1 == len(texts):
+                    unit.add(ids.slice(a, i + 1 - a), [x or "" for x in texts[a : i + 1]])
+                    a, chars = i + 1, 0
+                    if unit.chars >= UNIT_CHARS:
+                        yield unit.rows(name, parts, id_type)
+                        name, unit = name + 1, _Unit()
+        if unit.ids:
+            yield unit.rows(name, parts, id_type)
 
     return work
 
@@ -187,7 +224,7 @@ def _encode(name: str) -> Callable:
                     known[word] = n
                 at = np.array([known[w] for w in words], np.int64)
                 ids, ends = spans.take(flat, bounds[: len(known) + 1], at)
-                out.append(_pack(own, np.diff(ends).astype(np.uint32), ids))
+                out.append(_pack(own, _narrow(np.diff(ends)), *_planes(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array(out, pa.binary())], names=["part", "unit", "kind", "ids", "data"])
 
     return work
@@ -202,11 +239,11 @@ def _assemble(unit: pa.Table) -> pa.Table:
             sequence, ids = arrays, unit.column("ids").combine_chunks()
             ids = (ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids).slice(listed, 1).flatten()
         else:
-            owns.append(arrays[0])
-            sizes.append(arrays[1])
-            flats.append(arrays[2])
+            owns.append(np.cumsum(arrays[0], dtype=np.int64))
+            sizes.append(arrays[1].astype(np.int64))
+            flats.append(_codes(arrays[2:]))
     counts, codes = sequence[0], _codes(sequence[1:])
-    flat = np.zeros(0, np.uint16)
+    flat = np.zeros(0, np.uint32)
     ends = np.zeros(len(codes) + 1, np.int64)
     if owns:
         own, size = np.concatenate(owns), np.concatenate(sizes)
