@@ -27,6 +27,7 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,49 +52,52 @@ _COUNTS = np.array([c for c, _ in PACKINGS])
 _MAGIC = b"S8B1"
 
 
-def _chunk_words(ids: np.ndarray, escapes: list[int]) -> np.ndarray:
-    """One chunk's words; ids above sixty bits are added to ``escapes``."""
-    n = len(ids)
-    choice = np.full(n, 15, np.int64)
-    for selector in range(14, 0, -1):
+def _choose(ids: np.ndarray) -> np.ndarray:
+    """Per id, the selector that a word starting with it would have: the one of most ids that fit before the chunk's end."""
+    choice = np.full(len(ids), 15, np.int64)
+    widest = next((i for i in range(2, 16) if PACKINGS[i][1] >= int(ids.max()).bit_length()), 16) if len(ids) else 0
+    at = np.arange(len(ids))
+    for selector in range(min(widest, 14), 0, -1):
         count, bits = PACKINGS[selector]
-        at = np.flatnonzero(ids < np.uint64(1 << bits))
+        at = at[ids[at] < np.uint64(1 << bits)]
         if len(at) < count:
-            break  # narrower ids are fewer still
-        gap = np.flatnonzero(np.diff(at) != 1)
-        run_end = at[np.append(gap, len(at) - 1)] + 1
-        run_size = np.diff(np.concatenate([[0], gap + 1, [len(at)]]))
-        room = np.repeat(run_end, run_size) - at
-        choice[at[room >= count]] = selector
+            break
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(at) != 1) | (at[1:] % CHUNK == 0)
+        first = np.flatnonzero(new)
+        after = np.append(first[1:], len(at))
+        fits = np.repeat(at[after - 1] + 1, after - first) - at >= count
+        if not fits.any():
+            break  # nor does a longer run of narrower ids
+        choice[at[fits]] = selector
     choice[ids >= np.uint64(1 << 60)] = 0
+    return choice
+
+
+def pack(ids: np.ndarray, ends: np.ndarray) -> bytes:
+    """A block of ids (unsigned, up to 64 bits); ``ends``: where each document ends."""
+    ids = ids.astype(np.uint64)
+    n = len(ids)
+    choice = np.concatenate([_choose(ids[i : i + 8 * CHUNK]) for i in range(0, n, 8 * CHUNK)] or [np.zeros(0, np.int64)])
     follow, starts, i = (np.arange(n) + _COUNTS[choice]).tolist(), [], 0
     while i < n:
         starts.append(i)
         i = follow[i]
     at = np.array(starts, np.int64)
-    kinds = choice[at]
+    kinds, escapes = choice[at], ids[:0]
     words = kinds.astype(np.uint64) << np.uint64(60)
     for selector in np.unique(kinds).tolist():
         count, bits = PACKINGS[selector]
         own = np.flatnonzero(kinds == selector)
         if selector == 0:
-            words[own] |= np.arange(len(escapes), len(escapes) + len(own), dtype=np.uint64)
-            escapes.extend(ids[at[own]].tolist())
-        elif bits:
-            values = ids[at[own][:, None] + np.arange(count)]
-            words[own] |= np.bitwise_or.reduce(values << (np.arange(count, dtype=np.uint64) * np.uint64(bits)), axis=1)
-    return words
-
-
-def pack(ids: np.ndarray, ends: np.ndarray) -> bytes:
-    """A block of ids (unsigned, up to 64 bits); ``ends``: where each document ends."""
-    ids = ids.astype(np.uint64)
-    escapes: list[int] = []
-    chunks = [_chunk_words(ids[i : i + CHUNK], escapes) for i in range(0, len(ids), CHUNK)]
-    words = np.concatenate(chunks) if chunks else np.zeros(0, np.uint64)
-    firsts = np.cumsum([0] + [len(c) for c in chunks[:-1]])[: len(chunks)]
-    head = _MAGIC + struct.pack("<IQQQ", len(ends), len(ids), len(words), len(escapes))
-    return head + b"".join(np.asarray(a).astype("<u8").tobytes() for a in (ends, firsts, words, np.array(escapes, np.uint64)))
+            words[own] |= np.arange(len(own), dtype=np.uint64)
+            escapes = ids[at[own]]
+        else:
+            for k in range(count if bits else 0):
+                words[own] |= ids[at[own] + k] << np.uint64(k * bits)
+    firsts = np.searchsorted(at, np.arange(0, n, CHUNK))
+    head = _MAGIC + struct.pack("<IQQQ", len(ends), n, len(words), len(escapes))
+    return head + b"".join(np.asarray(a).astype("<u8").tobytes() for a in (ends, firsts, words, escapes))
 
 
 def unpack(block: bytes, chunks: slice | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -153,13 +157,13 @@ class _Words:
         fresh = [w for w in words if w not in self.known]
         n = len(self.known)
         made = [e.ids for e in tokenizer(self.name).encode_batch_fast(fresh, add_special_tokens=False)]
-        sizes = np.cumsum([len(x) for x in made], dtype=np.int64)
+        sizes = np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
         if made:
             while n + len(made) >= len(self.bounds):
                 self.bounds = np.concatenate([self.bounds, np.zeros(len(self.bounds), np.int64)])
             while self.used + sizes[-1] > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-            self.flat[self.used : self.used + sizes[-1]] = np.concatenate([np.array(x, np.uint32) for x in made])
+            self.flat[self.used : self.used + sizes[-1]] = np.fromiter(chain.from_iterable(made), np.uint32, int(sizes[-1]))
             self.bounds[n + 1 : n + 1 + len(made)] = self.used + sizes
             self.used += int(sizes[-1])
             self.known.update(zip(fresh, range(n, n + len(fresh)), strict=True))
