@@ -46,7 +46,7 @@ K, T = 24, 9
 #: Posting lists of so many classes or fewer are compared pair by pair.
 SHORT = 16
 #: Texts are worked on in blocks of so many characters.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 500_000
 
 _rng = np.random.default_rng(20150608)
 _TIMES = _rng.integers(1, 1 << 63, K, np.uint64) * np.uint64(2) + np.uint64(1)
