@@ -23,6 +23,7 @@ empty table.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -133,6 +134,8 @@ def unpack(block: bytes, chunks: slice | None = None) -> tuple[np.ndarray, np.nd
 
 @lru_cache(maxsize=2)
 def tokenizer(name: str):  # noqa: ANN201  the tokenizers library's class
+    # One thread for each task: idle threads of the library's pool spin.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_file(vocabulary_path(name))
