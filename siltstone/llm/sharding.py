@@ -81,11 +81,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
-def _crc_table() -> list[int]:
-    table = list(range(256))
-    for _ in range(8):
-        table = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in table]
-    return table
+def _sql_crc_step(c: str, bits: int = 4) -> str:
+    """``bits`` steps of CRC-32 (reflected polynomial 0xEDB88320) in SQL."""
+    for _ in range(bits):
+        c = f"xor(({c}) >> 1, (({c}) & 1) * {0xEDB88320})"
+    return c
 
 
 OP10_SQL = f"""
@@ -93,10 +93,10 @@ WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, hex(encode(coalesc
 b AS (
   SELECT doc_id, k, (length(hx) // 2 + {ROW_OVERHEAD})::BIGINT AS size,
     ('0x' || substr(md5(k || ':slot'), 1, {_BITS // 4}))::BIGINT AS h,
-    list_prepend(4294967295::BIGINT, list_transform(range(length(hx) // 2), lambda x: ('0x' || substr(hx, 2 * x + 1, 2))::BIGINT)) AS bytes FROM d),
+    list_prepend(4294967295::BIGINT, CASE WHEN hx = '' THEN []::BIGINT[] ELSE
+      list_transform(string_split(regexp_replace(hx, '(.)(.)', '\\2\\1', 'g'), ''), lambda x: instr('0123456789ABCDEF', x) - 1) END) AS nibbles FROM d),
 p AS (
-  SELECT doc_id, k, size, h,
-    xor(list_reduce(bytes, lambda a, y: xor(a >> 8, ({_crc_table()}::BIGINT[])[(xor(a, y) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM b),
+  SELECT doc_id, k, size, h, xor(list_reduce(nibbles, lambda a, y: {_sql_crc_step("xor(a, y)")}), 4294967295::BIGINT) AS text_crc32 FROM b),
 u AS (
   SELECT p.k, s, -1.0 / ln((('0x' || substr(md5(p.k || ':' || s), 1, {_BITS // 4}))::BIGINT + 0.5) / {1 << _BITS}.0) AS score
   FROM (SELECT DISTINCT k FROM p) p, range({SHARDS + 1}) r(s)),
