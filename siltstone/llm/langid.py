@@ -85,6 +85,11 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
+def has_letter(word: str) -> bool:
+    """Whether a word is more than numerals (superscripts and fractions are word characters too)."""
+    return any(map(str.isalpha, word))
+
+
 def word_features(word: str) -> list[str]:
     w = f"^{word.lower()}$"
     return [w, *[w[i : i + 3] for i in range(len(w) - 2)]]
@@ -191,7 +196,7 @@ class Labeller:
         if not text or not self.model.langs:
             return UNKNOWN, 0.0, []
         found = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-        if not found:
+        if not any(has_letter(text[a:b]) for a, b in found):
             return UNKNOWN, 0.0, []
         path = self.path(self.scores([text[a:b] for a, b in found]))
         edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
@@ -202,7 +207,7 @@ class Labeller:
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score alone."""
         words = words_of(text) if text and self.model.langs else []
-        if not words:
+        if not any(map(has_letter, words)):
             return UNKNOWN, 0.0
         path = self.path(self.scores(words))
         if path[0] == path[-1] and (path == path[0]).all():
