@@ -115,7 +115,11 @@ def train(rows: DataFrame, params: Params | None = None) -> Model:
     ship(rows.sparkSession)
     keyed = rows.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.col("id").cast("string")).alias("h"), F.xxhash64("text").alias("t"))
     single = keyed.groupBy("t").agg(F.min("lang").alias("lang"), F.max("lang").alias("other"), F.min("h").alias("h")).filter("lang = other")
-    chosen = single.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).filter(F.col("r") <= params.rows)
+    single = written(single.select("t", "lang", "h"), "single-language-texts")
+    # Hashes are even: four times the wanted share holds the least ones, so only about so many rows are ranked.
+    sizes = single.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))
+    low = single.join(sizes, "lang").filter(F.col("h").cast("double") <= -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), F.lit(4.0 * params.rows) / F.col("c")))
+    chosen = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).filter(F.col("r") <= params.rows)
     sample = keyed.join(F.broadcast(chosen.select("lang", "t", "h")), ["lang", "t", "h"], "left_semi").dropDuplicates(["lang", "t"])
     counted = sample.select("lang", "text").mapInArrow(_count, "lang string, feature string, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     counted = written(counted, "feature-counts")
