@@ -82,7 +82,7 @@ def merge(word: bytes, table: dict[bytes, int]) -> list[int]:
 
 def _pack(*arrays: np.ndarray) -> bytes:
     raw = b"".join(np.int64(len(a)).tobytes() + a.dtype.char.encode() + a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=6).compress(raw)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
