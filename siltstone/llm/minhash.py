@@ -17,8 +17,8 @@ copies were made from, as a rule); links are contracted to components, and
 lists of one component are done.  Short lists are compared pair by pair.  In
 the others, classes that share too few shingles with any other component
 leave, then all meet one from outside the list's main component.  What is left
-then is made pairs of: classes outside the main component with all that are
-not of their own, where the shared shingles allow it.  So every pair with a
+then is compared inside a join: classes outside the main component with all
+that are not of their own, where the shared shingles allow it.  So every pair with a
 common posting is in one component, or compared, or too far apart for certain.
 A pair is linked after collisions are counted and both full sets are compared.
 
@@ -221,6 +221,24 @@ class _Linker:
         self.links = found if self.links is None else self.links.union(found)
         return found.count()
 
+    def meet_strays(self, posts: DataFrame) -> None:
+        """Adds the links between classes outside a list's main component and all that are not of their own.
+
+        The join compares full sets itself and yields links alone; a pair is
+        compared in the first of the lists that it has in common.
+        """
+        lists = posts.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+        full = posts.join(lists, "node").join(self.sets, "node").select("token", "node", "label", "n", "shared", "tokens", "set")
+        of = lambda rows, side: rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "n", "shared", "tokens", "set")])
+        stray = of(full, "a").join(_main(posts), "token").filter("label_a <> main")
+        rest = stray.join(of(full, "b"), "token")
+        once = (F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
+        near = _similar(self.percent, F.col("n_a"), F.col("n_b"), F.least("shared_a", "shared_b"))
+        first = F.array_min(F.array_intersect("tokens_a", "tokens_b")) == F.col("token")
+        same = _similar(self.percent, F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("set_a", "set_b")))
+        links = rest.filter((F.col("label_a") != F.col("label_b")) & once & near & first & same)
+        self.links = self.links.union(written(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "links"))
+
     def label(self, posts: DataFrame) -> DataFrame:
         """``posts`` with the component of each node, of lists with more than one."""
         labels = components(self.links)
@@ -258,11 +276,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     posts = _within_reach(linker.label(posts), sets, like.percent)
     linker.compare(meet(posts.join(_main(posts), "token").filter("label <> main")))
     posts = _within_reach(linker.label(posts), sets, like.percent)
-    main = _main(posts)
-    named = lambda rows, side: rows.select("token", F.col("node").alias(side), F.col("label").alias(f"l{side}"), F.col("n").alias(f"n{side}"), F.col("shared").alias(f"c{side}"))
-    rest = named(posts.join(main, "token").filter("label <> main"), "a").join(named(posts, "b"), "token")
-    pairs = rest.filter("la <> lb").filter(_similar(like.percent, F.col("na"), F.col("nb"), F.least("ca", "cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    linker.compare(pairs)
+    linker.meet_strays(posts)
 
     labels = components(linker.links)
     per = classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
