@@ -253,16 +253,7 @@ n AS (SELECT {U}, count(*) AS n FROM liked GROUP BY 1)
 SELECT cand_id, c.{U}, c.{M}, label, target_ts, round(coalesce(mx, 0.0), 9) AS itemcf_max_sim, round(coalesce(s3 / least(3, n), 0.0), 9) AS itemcf_top3_mean_sim, (coalesce(mx, 0.0) > 0)::INT AS itemcf_has_neighbor
 FROM candidates c LEFT JOIN b ON b.{U} = c.{U} AND b.{M} = c.{M} LEFT JOIN n ON n.{U} = c.{U}""",
 )(lambda v: S.itemcf_features(v.candidates, v.liked, S.symmetric(v.edges)))
-_bits, _band = 64, 8
 _bit = lambda b: f"sum(((('0x' || substr(hex, {b // 4 + 1}, 1))::INT >> {3 - b % 4}) & 1) * 2 - 1) >= 0"
-_keys = (
-    f"""hx AS (SELECT DISTINCT {U}, md5(concat_ws(':', '{SEED}', 'simhash', {U}, '0')) AS hex FROM liked),
-sg AS (SELECT {M}, {", ".join(f"({_bit(b)})::BIGINT AS b{b}" for b in range(_bits))} FROM liked JOIN hx USING ({U}) GROUP BY 1),
-bk AS ("""
-    + " UNION ALL ".join(f"SELECT {M}, {n} AS band, ({' + '.join(f'(b{n * _band + i} << {i})' for i in range(_band))})::BIGINT AS key FROM sg" for n in range(_bits // _band))
-    + ")"
-)
-query("simhash_band_keys", f"WITH {Q.FULL}, {_keys} SELECT {M}, band, key FROM bk")(lambda v: S.band_keys(v.liked, _bits, _band, SEED))
 _lsh = "lc AS (SELECT DISTINCT a.\"movieId\" AS src, b.\"movieId\" AS dst FROM bk a JOIN bk b USING (band, key) WHERE a.\"movieId\" <> b.\"movieId\")"
 
 
@@ -271,22 +262,37 @@ def _asked(v: Views) -> DataFrame:
     return v.liked.select("movieId").distinct().filter("movieId % 100 = 0")
 
 
-query("lsh_candidates", f"WITH {Q.FULL}, {_keys}, {_lsh} SELECT * FROM lc WHERE src % 100 = 0")(lambda v: S.lsh_candidates(S.band_keys(v.liked, _bits, _band, SEED), _asked(v)))
-query(
-    "lsh_recall",
-    f"""WITH {Q.FULL}, {Q.COSINE}, {_keys}, {_lsh}, q AS (SELECT DISTINCT {M} AS src FROM liked WHERE {M} % 100 = 0),
+def _recall(v: Views, bits: int, band: int) -> DataFrame:
+    asked, sims = _asked(v), S.cosine(v.liked)
+    found = S.lsh_candidates(S.band_keys(v.liked, bits, band, SEED), asked)
+    return S.recall(S.lsh_neighbours(found, sims, TOP), S.neighbours(sims, TOP), asked, found, v.liked.select("movieId").distinct().count(), TOP)
+
+
+def _simhash(bits: int, band: int, suffix: str = "") -> None:
+    """The SimHash queries of one setting; 128 bits at most, those of one digest in SQL."""
+    keys = (
+        f"""hx AS (SELECT DISTINCT {U}, md5(concat_ws(':', '{SEED}', 'simhash', {U}, '0')) AS hex FROM liked),
+sg AS (SELECT {M}, {", ".join(f"({_bit(b)})::BIGINT AS b{b}" for b in range(bits))} FROM liked JOIN hx USING ({U}) GROUP BY 1),
+bk AS ("""
+        + " UNION ALL ".join(f"SELECT {M}, {n} AS band, ({' + '.join(f'(b{n * band + i} << {i})' for i in range(band))})::BIGINT AS key FROM sg" for n in range(bits // band))
+        + ")"
+    )
+    query(f"simhash_band_keys{suffix}", f"WITH {Q.FULL}, {keys} SELECT {M}, band, key FROM bk")(lambda v: S.band_keys(v.liked, bits, band, SEED))
+    query(f"lsh_candidates{suffix}", f"WITH {Q.FULL}, {keys}, {_lsh} SELECT * FROM lc WHERE src % 100 = 0")(lambda v: S.lsh_candidates(S.band_keys(v.liked, bits, band, SEED), _asked(v)))
+    query(
+        f"lsh_recall{suffix}",
+        f"""WITH {Q.FULL}, {Q.COSINE}, {keys}, {_lsh}, q AS (SELECT DISTINCT {M} AS src FROM liked WHERE {M} % 100 = 0),
 f AS (SELECT * FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rf FROM lc JOIN cosine USING (src, dst)) WHERE rf <= {TOP}),
 h AS (SELECT src, count(*) FILTER (rf <= 10 AND rank <= 10) AS h10, count(*) AS hk FROM f JOIN top50 USING (src, dst) GROUP BY 1),
 s AS (SELECT src, count(*) AS nc FROM lc GROUP BY 1)
 SELECT count(*) AS n_queries, round(avg(coalesce(h10, 0) / 10.0), 9) AS recall_at_10, round(avg(coalesce(hk, 0) / {TOP}.0), 9) AS recall_at_k, round(avg(coalesce(nc, 0)) / (SELECT count(DISTINCT {M}) FROM liked), 9) AS candidate_ratio
 FROM q LEFT JOIN h USING (src) LEFT JOIN s USING (src)""",
-)(lambda v: _recall(v))
+    )(lambda v: _recall(v, bits, band))
 
 
-def _recall(v: Views) -> DataFrame:
-    asked, sims = _asked(v), S.cosine(v.liked)
-    found = S.lsh_candidates(S.band_keys(v.liked, _bits, _band, SEED), asked)
-    return S.recall(S.lsh_neighbours(found, sims, TOP), S.neighbours(sims, TOP), asked, found, v.liked.select("movieId").distinct().count(), TOP)
+# The first setting misses most neighbours; the second is for a recall of 0.9 and more.
+_simhash(64, 8)
+_simhash(128, 4, "_128_4")
 
 
 query(

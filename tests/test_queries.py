@@ -26,3 +26,9 @@ def test_louvain_labels_every_item_of_the_graph(spark):
     rows = registry.QUERIES["louvain_communities"](spark, DATA).collect()
     assert len({r["movieId"] for r in rows}) == len(rows) > 0
     assert len({r["label"] for r in rows}) < len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_a_registered_simhash_setting_finds_the_neighbours(spark):
+    row = registry.QUERIES["lsh_recall_128_4"](spark, "/root/testdata/sf0.01").first()
+    assert row["n_queries"] == 20 and row["recall_at_10"] >= 0.9 and row["recall_at_k"] >= 0.9
