@@ -5,9 +5,9 @@ it.  Per path, text length, punctuation, link text and the number of blocks
 are added up; a path's ratio is its text for each block, raised by punctuation
 and lowered by links.  The ratios are smoothed over neighbouring blocks, fused
 with the paths' own, and blocks above a share of the page's mean are content
-nodes.  The innermost container that holds nearly all their text is the
-article (one that says so goes before others); every block in it is kept, so
-headings and short paragraphs stay.  Paths through
+nodes, as is the page's title (``h1``) where it is not a link.  The innermost
+container that holds all of them is the article (one that says so goes before
+others); every block in it is kept, so headings and short paragraphs stay.  Paths through
 elements that are never article text (navigation, headers, footers, asides,
 forms, adverts, notices, reader comments, scripts, styles) have ratio zero.
 
@@ -55,8 +55,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([A-Za-z][^\s/>]*)[^>]*
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
 
-#: Share of the mean fused ratio that a content node needs, and of the content's text that the article must hold.
-THRESHOLD, COVER = 0.3, 0.8
+#: Share of the mean fused ratio that a content node needs.
+THRESHOLD = 0.3
 
 
 @dataclass
@@ -66,6 +66,7 @@ class Block:
     text: str
     links: int  # characters of link text
     barred: bool
+    title: bool = False
 
 
 def blocks(html: str) -> list[Block]:
@@ -82,7 +83,7 @@ def blocks(html: str) -> list[Block]:
             depth = len(names)
             while depth and names[depth - 1] in INLINE:
                 depth -= 1
-            out.append(Block("/".join(labels[:depth]), tuple((n, x in ARTICLE) for n, x in zip(nodes[:depth], names, strict=False) if x in CONTAINERS), text, links, any(barred)))
+            out.append(Block("/".join(labels[:depth]), tuple((n, x in ARTICLE) for n, x in zip(nodes[:depth], names, strict=False) if x in CONTAINERS), text, links, any(barred), "h1" in names[:depth]))
         words.clear()
         links = 0
 
@@ -173,13 +174,8 @@ def main_text(html: str | None) -> str:
     if not open_:
         return ""
     mean = sum(scores[i] * len(found[i].text) for i in open_) / sum(len(found[i].text) for i in open_)
-    content = [i for i in open_ if scores[i] >= THRESHOLD * mean]
-    held: dict[tuple[int, bool], int] = defaultdict(int)
-    for i in content:
-        for node in found[i].nodes:
-            held[node] += len(found[i].text)
-    need = COVER * sum(len(found[i].text) for i in content)
-    fit = [n for n, size in held.items() if size >= need]  # elements are numbered in order: the innermost is the last
+    content = [i for i in open_ if scores[i] >= THRESHOLD * mean or (found[i].title and found[i].links < len(found[i].text))]
+    fit = set(found[content[0]].nodes).intersection(*(found[i].nodes for i in content))  # elements are numbered in order: the innermost is the last
     article = max([n for n in fit if n[1]] or fit, default=None)
     return "\n".join(found[i].text for i in open_ if article is None or article in found[i].nodes)
 

@@ -129,6 +129,14 @@ def test_main_text_of_a_page():
     assert html.main_text("<article><p>a" + "b " * 100000 + "</article>").count("b") == 100000
 
 
+def test_the_article_holds_all_content():
+    many, few = "<p>Some words, here they are.</p>" * 17, "<p>Other words, here they are.</p>" * 3
+    parts = ["T", *["Other words, here they are."] * 3, *["Some words, here they are."] * 17]
+    assert html.main_text(f"<body><h1>T</h1><div class=intro>{few}</div><div class=body>{many}</div></body>").split("\n") == parts
+    assert sorted(html.main_text(f"<main><h1>T</h1><article>{many}</article><article>{few}</article></main>").split("\n")) == sorted(parts)
+    assert html.main_text(f"<body><h1><a href=/>Site</a></h1><main><h1>T</h1><article>{few}{many}</article></main></body>").split("\n") == parts
+
+
 def test_pages_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (None, None, None, 2), (1, "u", PAGE, 1)], "page_id long, url string, html string, text int")
     rows = html.extract(pages).collect()
