@@ -51,6 +51,10 @@ _MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|masthead|header|toolbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|pagination|pager|skip|contentinfo|complementary|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Inside an article a name counts when all its parts are marks or words of layout; headers there are the article's own.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PART = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|toolbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|pagination|pager|skip|contentinfo|complementary|search)", re.IGNORECASE)
+LAYOUT = frozenset("area article articles bar block box btn button buttons col column container content entry form group icons inner item items left link links list main media page panel post posts right section site slot stories thread top bottom unit user widget widgets wrap wrapper".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([A-Za-z][^\s/>]*)[^>]*>?|<([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
@@ -59,6 +63,22 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
 THRESHOLD = 0.3
 
 
+def _compound(name: str) -> bool:
+    """Whether a class, id or role is made of marks and words of layout alone: ``related-posts`` is, ``related-work`` is not."""
+    parts = [x for x in re.split(r"[_-]+|\d+", name) if x]
+    return any(_PART.fullmatch(x) for x in parts) and all(x.lower() in LAYOUT or _PART.fullmatch(x) for x in parts)
+
+
+def _is_marked(name: str, marks: dict[str, str], inside: bool) -> bool:
+    """Whether an element's names say that it is never article text; ids of headings and sections may be slugs of their titles."""
+    own = marks.get("id", "")
+    if name in _HEADINGS or ((name == "section" or "section" in marks.get("class", "").lower().split()) and own.lower() not in ("comments", "respond")):
+        own = ""
+    if not inside:
+        return any(_MARKED.search(x) for x in (marks.get("class", ""), own, marks.get("role", "")))
+    return name != "header" and any(_compound(x) for x in [*marks.get("class", "").split(), own, *marks.get("role", "").split()])
+
+
 @dataclass
 class Block:
     path: str
@@ -138,9 +158,10 @@ def blocks(html: str) -> list[Block]:
             nodes.append(made)
             kind = re.sub(r"\d+", "", marks.get("class", ""))
             labels.append(name + "".join("." + c for c in sorted(kind.split())))
-            header = name == "header" and "article" in names[:-1]
+            inside = "article" in names[:-1] or "main" in names[:-1]
+            header = name == "header" and inside
             never = (name in NEVER and not header) or "hidden" in marks
-            never = never or (name not in ("html", "body", "article", "main") and any(_MARKED.search(marks.get(k, "")) for k in ("class", "id", "role")))
+            never = never or (name not in ("html", "body", "article", "main") and _is_marked(name, marks, inside))
             barred.append(never)
     flush()
     return out

@@ -137,6 +137,14 @@ def test_the_article_holds_all_content():
     assert html.main_text(f"<body><h1><a href=/>Site</a></h1><main><h1>T</h1><article>{few}{many}</article></main></body>").split("\n") == parts
 
 
+def test_slugs_and_article_headers_stay():
+    prose = "<p>Some words, here they are.</p>" * 5
+    kept = f'<header class="entry-header"><h1>T</h1></header>{prose}<h2 id="related-work">R</h2>{prose}<section id="social-impact"><h2 id=search>S</h2>{prose}</section><div id="search-algorithms">A{prose}</div>'
+    parts = html.main_text(f'<article>{kept}<div class="related-posts">Gone</div><ul class="share">Gone</ul><div id="cookie-notice">Gone</div><section id=comments>Gone</section></article>').split("\n")
+    assert [x for x in parts if len(x) < 9] == ["T", "R", "S", "A"] and len(parts) == 24
+    assert html.main_text(f'<div><h2 id="related-work">R</h2>{prose}<section id="search-engines">{prose}</section></div>').count("words") == 10
+
+
 def test_pages_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (None, None, None, 2), (1, "u", PAGE, 1)], "page_id long, url string, html string, text int")
     rows = html.extract(pages).collect()
