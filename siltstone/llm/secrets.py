@@ -41,9 +41,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _ID = re.compile(r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]{15,63}(?![A-Za-z0-9])")
-_NAMED_ID = re.compile(r"""(?<![A-Za-z])(?:client_?id|access_?key(?:_?id)?|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{4,}""")
+#: Where a name may begin: after no letter, or as a camelCase word.
+_BEGIN = r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z0-9])(?=[A-Z])))"
+_NAMED_ID = re.compile(_BEGIN + r"""(?:client[_-]?id|access[_-]?key(?:[_-]?id)?|user(?:[_-]?name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{4,}""", _FLAGS)
 _SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20"'<>]+|(?<![A-Za-z])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]{3,}""")
+_ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20"'<>]+|""" + _BEGIN + r"""(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]{3,}""", _FLAGS)
 _SCOPE = re.compile(r"\n[\x20\x09\x0D]*\n")
 _DIGIT, _UPPER, _LOWER = re.compile("[0-9]"), re.compile("[A-Z]"), re.compile("[a-z]")
 

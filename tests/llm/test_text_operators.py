@@ -45,6 +45,17 @@ def test_weak_secrets_need_their_complement():
     assert secrets.redacted('a token = "0123456789abcdef0123456789abcdef" b') == 'a [ASSIGN]" b'
 
 
+def test_names_of_any_case_link_weak_secrets():
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY9"
+    for name in ("CLIENT_ID=svc-report-01", "clientId: abcd1234", "client-id: abcd1234", "AWS_ACCESS_KEY_ID=abcd1234", "awsAccessKeyId=abcd1234", "Username: alice77", "user: alice77", '"login": "alice77"'):
+        for host in ("DB_HOST=db.example.org", "dbHost: db.example.org", "server=db.example.org"):
+            text = f"{name}\n{key}\n{host}"
+            assert [s[0] for s in secrets.find_spans(text)] == ["link_id", "link_secret", "link_endpoint"], text
+            assert secrets.joined(secrets.find_spans(text)) == secrets.brute_force(text)[4] and key not in secrets.redacted(text)
+    for text in (f"superuser: alice77 {key}", f"ghost: db.example.org {key}", f"uſer: alice77 {key}"):
+        assert secrets.find_spans(text) == []
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, "api_key=abcdefgh1", 5), (None, None, None), (1, "clean", 0)], "doc_id long, text string, spans int")
     rows = secrets.redact(docs).collect()
