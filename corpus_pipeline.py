@@ -24,8 +24,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of the benchmark go."""
-    return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    """Documents that hold passages of the benchmark, or a short item whole, go."""
+    return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ Only hits leave the map side: with the benchmark's hashes below a checked size
 they are broadcast, beyond it the join shuffles.  Verified texts are read again
 for the documents with hits alone.
 
-Defined results: null or empty texts, and items shorter than the longest mask
-(10 tokens), match nothing; documents are told apart by id (null is a value)
+Defined results: null or empty texts match nothing, and items shorter than the
+longest mask (10 tokens) only where ``short_items`` asks for their exact runs; documents are told apart by id (null is a value)
 and text, so repeated rows give one result; an empty table on either side
 gives an empty result.
 """
@@ -111,9 +111,31 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
     )
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has no verified overlap with the benchmark, with the columns they came with."""
+def _whole_short_items(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_text_col: str) -> DataFrame:
+    """id and t of documents that hold all tokens of an item shorter than ``SPAN``, in a row."""
+    items = bench.select(token_hashes(F.col(item_text_col)).alias("part")).filter((F.size("part") > 0) & (F.size("part") < SPAN)).distinct()
+    sizes = sorted(r[0] for r in items.select(F.size("part")).distinct().collect())  # nine at most
+    plain = docs.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("t"), token_hashes(F.col(text_col)).alias("w"))
+    if not sizes:
+        return plain.select("id", "t").limit(0)
+    if items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        items = F.broadcast(items)
+
+    def parts(w: Column, n: int) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.slice(w, i, F.lit(n)))).otherwise(F.array().cast("array<array<bigint>>"))
+
+    runs = plain.select("id", "t", F.explode(let(F.col("w"), lambda w: F.array_distinct(F.concat(*[parts(w, n) for n in sizes])))).alias("part"))
+    return runs.join(items, "part", "left_semi").select("id", "t").distinct()
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short_items: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose text has no verified overlap with the benchmark, with the columns they came with.
+
+    ``short_items``: items shorter than ``SPAN`` are searched too, as exact runs of all their tokens.
+    """
     bad = _verified(docs, bench, id_col, text_col, item_col, item_text_col).select("id", "t").distinct()
+    if short_items:
+        bad = bad.union(_whole_short_items(docs, bench, id_col, text_col, item_text_col)).distinct()
     return docs.join(bad, docs[id_col].eqNullSafe(bad["id"]) & (_text_hash(text_col) == bad["t"]), "left_anti")
 
 

@@ -107,6 +107,19 @@ def test_passages_are_found_with_substitutions(spark):
     assert decontam.overlaps(docs.limit(0), bench).count() == 0 and decontam.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_searched_whole(spark, tmp_path):
+    items = {0: text(9), 1: text(4), 2: "solo", 3: None, 4: "", 5: text(9), 6: text(20)}
+    nine = items[5].split()
+    texts = {0: f"{text(20)} {items[0].title()}, {text(20)}", 1: items[1], 2: f"a Solo {text(3)}", 3: f"{text(5)} solos", 4: " ".join(nine[:8]), 5: " ".join([*nine[:4], "zzz", *nine[4:]]), 6: None, 7: "", 8: f"{items[6]} {text(9)}", None: items[5]}
+    docs = spark.createDataFrame([(i, t, 1) for i, t in texts.items()] + [(1, items[1], 1)], "doc_id long, text string, part int").repartition(3)
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {3, 4, 5, 6, 7}
+    bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["doc_id"] for r in decontam.drop_contaminated(docs, bench.filter("item_id = 6"), short_items=True).collect()} == set(texts) - {8}
+    assert decontam.drop_contaminated(docs.limit(0), bench, short_items=True).count() == 0
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     good = lambda n: " ".join(RNG.choice(WORDS if i % 4 else ["the", "of", "and", "to"]) for i in range(n))
     item = good(40)
