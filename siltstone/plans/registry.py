@@ -327,6 +327,12 @@ SELECT o.{U}, o.{M}, o.label, target_ts, round(CASE WHEN o.{U} IN (SELECT {U} FR
 FROM o LEFT JOIN pr USING ({M}) LEFT JOIN w ON w.{U} = o.{U} AND w.{M} = o.{M} LEFT JOIN lp ON lp.{M} = o.{M} LEFT JOIN k ON k.{U} = o.{U} AND k.com = lp.label LEFT JOIN n ON n.{U} = o.{U}""",
 )(lambda v: G.graph_features(v.groups(), v.train, G.pagerank(v.train, THRESHOLD, PAGERANK_ITERATIONS), v.edges, G.label_propagation(v.edges, LPA_ITERATIONS), THRESHOLD, leave_out=True))
 
+# The same at the operators' own iterations, without SQL: unrolled, it would be too slow.
+query("pagerank_20")(lambda v: G.pagerank(v.train, THRESHOLD))
+query("lpa_sync_5")(lambda v: G.label_propagation(v.edges))
+query("community_profile_5")(lambda v: G.community_profile(v.liked, G.label_propagation(v.edges)))
+query("graph_features_loo_20_5")(lambda v: G.graph_features(v.groups(), v.train, G.pagerank(v.train, THRESHOLD), v.edges, G.label_propagation(v.edges), THRESHOLD, leave_out=True))
+
 # Streams
 _hist = "hist AS (SELECT * FROM splits WHERE split <> 'test')"
 for _name, _key in (("user_daily", "userId"), ("movie_daily", "movieId")):
@@ -376,7 +382,7 @@ query("stream_profile", f"WITH {Q.BASE}, {Q.GENRES}, {_profile} SELECT {U}, genr
 
 # Models
 def _als(v: Views) -> DataFrame:
-    model = L.train_als(v.train, rank=16, max_iter=5, seed=SEED)
+    model = L.train_als(v.train, seed=SEED)
     return L.score_pairs(model.userFactors, model.itemFactors, v.candidates)
 
 

@@ -32,3 +32,18 @@ def test_louvain_labels_every_item_of_the_graph(spark):
 def test_a_registered_simhash_setting_finds_the_neighbours(spark):
     row = registry.QUERIES["lsh_recall_128_4"](spark, "/root/testdata/sf0.01").first()
     assert row["n_queries"] == 20 and row["recall_at_10"] >= 0.9 and row["recall_at_k"] >= 0.9
+
+
+def test_graph_and_als_queries_run_the_production_iterations(spark, monkeypatch):
+    from siltstone.operators import graph, models
+    from siltstone.plans import sql
+
+    ranks = {r["movieId"]: r["pagerank"] for r in registry.QUERIES["pagerank_20"](spark, DATA).collect()}
+    more = {r["movieId"]: r["pagerank"] for r in graph.pagerank(registry.Views(spark, DATA).train, registry.THRESHOLD, 22).collect()}
+    assert len(ranks) > 0 and max(abs(ranks[i] - more[i]) for i in more) < 0.05
+    five = f"WITH {sql.FULL}, {sql.COSINE}, {sql.communities(5)} SELECT \"movieId\", label FROM lp"
+    assert_same(spark, registry.QUERIES["lpa_sync_5"], five, DATA)
+    seen, train = [], models.train_als
+    monkeypatch.setattr(registry.L, "train_als", lambda *a, **b: seen.append(train(*a, **b)) or seen[0])
+    registry.QUERIES["als_scores"](spark, DATA)
+    assert seen[0].rank == 64
