@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense_index(df: DataFrame, order: Column, name: str = "idx", buckets: int = 256) -> DataFrame:
+def dense_index(df: DataFrame, order: Column, name: str = "idx", digits: int = 2) -> DataFrame:
     """``df`` numbered from 0 by ``order``, the hex digits of an md5 hash.
 
-    The first two digits are the bucket; buckets are ranked apart and shifted by
-    running totals over the 256 of them, so no task ranks the whole table.
+    The first ``digits`` are the bucket; buckets are ranked apart and shifted by
+    running totals over the 16 ** digits of them, so no task ranks the whole table.
     """
-    keyed = df.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, 2))
+    keyed = df.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, digits))
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

@@ -6,20 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import log1p_positive
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            import tempfile
-
-            shared = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+from ..shared import cut, written
 
 
 def degrees(liked: DataFrame) -> DataFrame:
@@ -35,9 +22,10 @@ def pagerank(train: DataFrame, threshold: float = 4.0, iterations: int = 20, dam
     mass of vertices without edges is not handed on.
     """
     liked = train.filter(F.col("rating") >= threshold).select(F.col("userId").alias("u"), F.col("movieId").alias("i")).distinct()
-    users, items = train.select(F.col("userId").alias("id")).distinct(), train.select(F.col("movieId").alias("id")).distinct()
+    liked = written(liked, "liked")
+    users, items = (written(train.select(F.col(c).alias("id")).distinct(), c) for c in ("userId", "movieId"))
     n = users.count() + items.count()
-    deg_u, deg_i = (liked.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("deg")) for c in ("u", "i"))
+    deg_u, deg_i = (written(liked.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("deg")), f"degree-{c}") for c in ("u", "i"))
     start, base = F.lit(1.0 / n), F.lit((1.0 - damping) / n)
     rank_u, rank_i = users.withColumn("r", start), items.withColumn("r", start)
 
@@ -73,34 +61,56 @@ def label_propagation(edges: DataFrame, iterations: int = 5) -> DataFrame:
     return labels
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 3, sweeps: int = 4) -> DataFrame:
+def modularity(weights: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
+    """Modularity of ``labels`` (id, label) over a symmetric graph (src, dst, w); an edge to itself counts as given."""
+    of = lambda side, name: labels.toDF(side, name)
+    named = weights.join(of("src", "a"), "src").join(of("dst", "b"), "dst")
+    per = named.groupBy(F.col("a").alias("c")).agg(F.sum("w").alias("t"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inside"))
+    row = per.agg(F.sum("t").alias("m"), F.sum("inside").alias("i"), F.sum(F.col("t") * F.col("t")).alias("q")).first()
+    return row["i"] / row["m"] - resolution * row["q"] / row["m"] ** 2 if row["m"] else 0.0
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0, min_gain: float = 1e-6) -> DataFrame:
     """movieId and label by modularity: items move at once to the community of the best gain, then communities are contracted.
 
     In each sweep only items whose keyed hash has the sweep's parity move, which
-    keeps neighbours from swapping for ever.
+    keeps neighbours from swapping for ever.  Sweeps of a level go on while a
+    pair of them (one of each parity) raises modularity by ``min_gain``, and
+    levels while they contract the graph and raise it, so nothing but
+    convergence ends the search; a pair of sweeps that lowers it is taken back.
     """
-    weights = cut(edges.select("src", "dst", "sim").union(edges.select("dst", "src", "sim")).groupBy("src", "dst").agg(F.sum("sim").alias("w")).filter("src <> dst"))
-    member = weights.select(F.col("src").alias("movieId")).distinct().withColumn("label", F.col("movieId"))
+    weights = written(edges.select("src", "dst", "sim").union(edges.select("dst", "src", "sim")).groupBy("src", "dst").agg(F.sum("sim").alias("w")).filter("src <> dst"), "louvain-graph")
+    member = written(weights.select(F.col("src").alias("movieId")).distinct().withColumn("label", F.col("movieId")), "louvain-members")
     graph = weights
-    for level in range(levels):
-        m2 = graph.agg(F.sum("w")).first()[0] or 1.0
-        strength = graph.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k"))
-        labels = strength.select("v", "k", F.col("v").alias("c"))
-        for sweep in range(sweeps):
-            total = labels.groupBy("c").agg(F.sum("k").alias("t"))
-            link = graph.filter("src <> dst").join(labels.select(F.col("v").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("v"), "c").agg(F.sum("w").alias("l"))
-            options = link.join(total, "c").join(labels.select("v", "k", F.col("c").alias("now")), "v")
-            inside = F.when(F.col("c") == F.col("now"), F.col("t") - F.col("k")).otherwise(F.col("t"))
-            gain = F.round(F.col("l") - F.lit(resolution) * F.col("k") * inside / F.lit(m2), 9)
-            best = options.groupBy("v").agg(F.max_by("c", F.struct(gain.alias("g"), (-F.col("c")).alias("low"))).alias("b"), F.max(gain).alias("g"))
-            moves = (F.pmod(F.xxhash64("v"), F.lit(2)) == sweep % 2) & (F.col("g") > 0)
-            labels = cut(labels.join(best, "v", "left").select("v", "k", F.when(moves, F.col("b")).otherwise(F.col("c")).alias("c")))
-        step = labels.select(F.col("v").alias("label"), F.col("c").alias("next"))
-        member = cut(member.join(step, "label").select("movieId", F.col("next").alias("label")))
-        if level + 1 < levels:
-            lo, hi = labels.select(F.col("v").alias("src"), F.col("c").alias("a")), labels.select(F.col("v").alias("dst"), F.col("c").alias("b"))
-            graph = cut(graph.join(lo, "src").join(hi, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
-    return member
+    m2 = graph.agg(F.sum("w")).first()[0] or 1.0
+    best = modularity(graph, member, resolution)
+    while True:
+        strength = written(graph.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k")), "louvain-strength")
+        labels, begun = strength.select("v", "k", F.col("v").alias("c")), best
+        while True:
+            moved = labels
+            for parity in (0, 1):
+                total = moved.groupBy("c").agg(F.sum("k").alias("t"))
+                link = graph.filter("src <> dst").join(moved.select(F.col("v").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("v"), "c").agg(F.sum("w").alias("l"))
+                options = link.join(total, "c").join(moved.select("v", "k", F.col("c").alias("now")), "v")
+                # What a move would add, less what staying gives: the own community may have no edge left.
+                inside = F.when(F.col("c") == F.col("now"), F.col("t") - F.col("k")).otherwise(F.col("t"))
+                gain = F.round(F.col("l") - F.lit(resolution) * F.col("k") * inside / F.lit(m2), 9)
+                top = options.groupBy("v").agg(F.max_by("c", F.struct(gain.alias("g"), (-F.col("c")).alias("low"))).alias("b"), F.max(gain).alias("g"))
+                moves = (F.pmod(F.xxhash64("v"), F.lit(2)) == parity) & (F.col("g") > 0)
+                moved = written(moved.join(top, "v", "left").select("v", "k", F.when(moves, F.col("b")).otherwise(F.col("c")).alias("c")), "louvain-labels")
+            now = modularity(graph, moved.select("v", "c"), resolution)
+            if now > best:
+                labels = moved
+            if now < best + min_gain:
+                best = max(best, now)
+                break
+            best = now
+        if best < begun + min_gain:
+            return member
+        member = written(member.join(labels.select(F.col("v").alias("label"), F.col("c").alias("next")), "label").select("movieId", F.col("next").alias("label")), "louvain-members")
+        lo, hi = labels.select(F.col("v").alias("src"), F.col("c").alias("a")), labels.select(F.col("v").alias("dst"), F.col("c").alias("b"))
+        graph = written(graph.join(lo, "src").join(hi, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "louvain-graph")
 
 
 def community_profile(liked: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dot
-from .graph import cut
+from ..shared import cut
 
 
 def train_als(train: DataFrame, rank: int = 64, max_iter: int = 10, reg: float = 0.1, nonnegative: bool = True, implicit: bool = False, seed: int = 0) -> ALSModel:

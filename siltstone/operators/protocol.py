@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed_hash
 from ..functions.indexing import dense_index, prime_from
+from ..shared import written
 
 PICKS = ("random", "earliest", "latest")
+#: A catalog up to this many rows (two numbers each) is broadcast, a longer one shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def quality_checks(ratings: DataFrame, movies: DataFrame, tags: DataFrame | None = None) -> DataFrame:
@@ -112,8 +115,8 @@ def pick_positive(positives: DataFrame, pick: str = "random", seed: int = 0, pur
 
 def catalog_index(movies: DataFrame, seed: int) -> tuple[DataFrame, int]:
     """movieId and idx (dense, shuffled by keyed hash), and how many."""
-    catalog = movies.select("movieId").distinct()
-    return dense_index(catalog, keyed_hash(seed, "catalog", "movieId")), catalog.count()
+    catalog = written(dense_index(movies.select("movieId").distinct(), keyed_hash(seed, "catalog", "movieId")), "catalog")
+    return catalog, catalog.count()
 
 
 def walk(users: DataFrame, catalog: DataFrame, size: int, blocked: DataFrame, k: int, seed: int, purpose: str) -> DataFrame:
@@ -128,10 +131,12 @@ def walk(users: DataFrame, catalog: DataFrame, size: int, blocked: DataFrame, k:
     part = lambda start: F.conv(F.substring(keyed_hash(seed, purpose, "userId"), start, 8), 16, 10).cast("long")
     history = blocked.groupBy("userId").agg(F.count(F.lit(1)).alias("_seen"))
     steps = F.least(F.coalesce("_seen", F.lit(0)) + F.lit(k + prime - size), F.lit(prime)).cast("int")
-    walked = users.join(history, "userId", "left").select(
-        *users.columns, (part(1) % max(prime - 1, 1) + 1).alias("_a"), (part(9) % prime).alias("_b"), F.explode(F.sequence(F.lit(0), steps - 1)).alias("_j")
-    )
+    # A row for each user, written: else the optimiser hashes again for every step.
+    begun = written(users.join(history, "userId", "left").select(*users.columns, (part(1) % max(prime - 1, 1) + 1).alias("_a"), (part(9) % prime).alias("_b"), steps.alias("_steps")), "walks")
+    walked = begun.select(*users.columns, "_a", "_b", F.explode(F.sequence(F.lit(0), F.col("_steps") - 1)).alias("_j"))
     at = walked.withColumn("idx", ((F.col("_a") * F.col("_j") + F.col("_b")) % prime)).filter(F.col("idx") < size)
+    if size <= BROADCAST_ROWS:
+        catalog = F.broadcast(catalog)
     free = at.join(catalog, "idx").join(blocked.select("userId", "movieId"), ["userId", "movieId"], "left_anti")
     numbered = free.withColumn("n", F.row_number().over(Window.partitionBy("userId").orderBy("_j")))
     return numbered.filter(F.col("n") <= k).select(*users.columns, "movieId", "n")
@@ -144,6 +149,7 @@ def build_candidates(splits: DataFrame, movies: DataFrame, k: int = 100, pick: s
     rules = {"positive": True, "user_train_val": True, "user_test": True} | (exclude or {})
     positives = splits.filter(f"split = 'test' and rating >= {threshold}")
     chosen = pick_positive(positives, pick, seed).select("userId", "movieId", F.col("timestamp").alias("target_ts"))
+    chosen = written(chosen, "positives")
     wanted = [s for s in ("train", "val", "test") if rules["user_test" if s == "test" else "user_train_val"]]
     blocked = splits.filter(F.col("split").isin(wanted)).select("userId", "movieId")
     if rules["positive"]:
@@ -154,7 +160,7 @@ def build_candidates(splits: DataFrame, movies: DataFrame, k: int = 100, pick: s
     rows = chosen.select("userId", "movieId", F.lit(1).cast("byte").alias("label"), "target_ts").unionByName(
         negatives.select("userId", "movieId", F.lit(0).cast("byte").alias("label"), "target_ts")
     )
-    return number_rows(rows)
+    return number_rows(written(rows, "candidate-rows"))
 
 
 def number_rows(rows: DataFrame) -> DataFrame:
@@ -206,6 +212,7 @@ def build_groups(
     chosen = pick_positive(positives, "random", seed, "group").select("userId", "movieId", F.col("timestamp").alias("target_ts"))
     if max_users is not None:
         chosen = chosen.orderBy(keyed_hash(seed, "group-user", "userId"), "userId").limit(max_users)
+    chosen = written(chosen, "positives")
     users = chosen.select("userId", "target_ts")
     seen = splits.select("userId", "movieId").join(users, "userId", "left_semi").distinct()
     catalog, size = catalog_index(movies, seed)
@@ -216,12 +223,13 @@ def build_groups(
             counts = splits.filter("split = 'train'").groupBy("movieId").agg(F.count(F.lit(1)).alias("c"))
             # The pool's size is a parameter, so its numbering is one short sort.
             pool = counts.orderBy(F.desc("c"), "movieId").limit(hard_pool_size)
-            numbered = dense_index(pool.select("movieId"), keyed_hash(seed, "pool", "movieId"))
-            hard = walk(users, numbered, pool.count(), seen, n_hard, seed, "hard").drop("n")
+            numbered = written(dense_index(pool.select("movieId"), keyed_hash(seed, "pool", "movieId")), "pool")
+            hard = walk(users, numbered, numbered.count(), seen, n_hard, seed, "hard").drop("n")
         else:
             low = splits.filter(f"split = 'train' and rating < {threshold}").join(users, "userId")
             order = Window.partitionBy("userId").orderBy(keyed_hash(seed, "real", "userId", "movieId"), "movieId")
             hard = low.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n_hard).select("userId", "target_ts", "movieId")
+        hard = written(hard, "hard-negatives")
     easy = walk(users, catalog, size, seen.unionByName(hard.select("userId", "movieId")).distinct(), k, seed, "easy")
     short = hard.groupBy("userId").agg(F.count(F.lit(1)).alias("_h"))
     easy = easy.join(short, "userId", "left").filter(F.col("n") <= k - F.coalesce("_h", F.lit(0)))

@@ -19,6 +19,7 @@ from ..operators import models as L
 from ..operators import protocol as P
 from ..operators import similarity as S
 from ..functions import dot
+from ..shared import scratch_dir, written
 from ..sources import readers, sinks
 from ..streaming import activity, replay
 from . import sql as Q
@@ -40,24 +41,37 @@ class Views:
             self._made[name] = make()
         return self._made[name]
 
+    def _kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A view that several parts of a plan read: written once to the shared folder, not computed at each mention."""
+        return self._of(name, lambda: written(make(), name))
+
     ratings = property(lambda v: v._of("ratings", lambda: readers.ratings(v.spark, v.dir)))
     movies = property(lambda v: v._of("movies", lambda: readers.movies(v.spark, v.dir)))
     tags = property(lambda v: v._of("tags", lambda: readers.tags(v.spark, v.dir)))
-    splits = property(lambda v: v._of("splits", lambda: P.temporal_split(v.ratings)))
+    splits = property(lambda v: v._kept("splits", lambda: P.temporal_split(v.ratings)))
     train = property(lambda v: v._of("train", lambda: v.splits.filter("split = 'train'").drop("split")))
     history = property(lambda v: v._of("history", lambda: v.splits.filter("split <> 'test'").drop("split")))
-    liked = property(lambda v: v._of("liked", lambda: S.incidence(v.train, THRESHOLD)))
-    candidates = property(lambda v: v._of("candidates", lambda: P.build_candidates(v.splits, v.movies, K, "random", SEED, THRESHOLD)))
-    edges = property(lambda v: v._of("edges", lambda: G.item_graph(v.liked, TOP)))
+    liked = property(lambda v: v._kept("liked", lambda: S.incidence(v.train, THRESHOLD)))
+    candidates = property(lambda v: v._kept("candidates", v.new_candidates))
+    edges = property(lambda v: v._kept("edges", lambda: G.item_graph(v.liked, TOP)))
 
     def positives(self) -> DataFrame:
         return self.train.filter(F.col("rating") >= THRESHOLD)
 
-    def groups(self, hard: str = "", max_users: int | None = None) -> DataFrame:
-        return P.build_groups(self.splits, self.movies, self.positives(), K, SEED, 0.5 if hard else 0.0, hard or "popular", max_users=max_users, threshold=THRESHOLD)
+    def new_candidates(self) -> DataFrame:
+        return P.build_candidates(self.splits, self.movies, K, "random", SEED, THRESHOLD)
+
+    def new_groups(self, hard: str = "") -> DataFrame:
+        return P.build_groups(self.splits, self.movies, self.positives(), K, SEED, 0.5 if hard else 0.0, hard or "popular", threshold=THRESHOLD)
+
+    def groups(self) -> DataFrame:
+        return self._kept("groups", self.new_groups)
+
+    def daily(self, key: str) -> DataFrame:
+        return self._kept(f"daily-{key}", lambda: replay.merged_counts(replay.daily_counts(self.history, key), key))
 
     def scored(self) -> DataFrame:
-        return E.align_scores(self.candidates, E.popularity_scores(self.train, self.candidates))
+        return self._kept("scored", lambda: E.align_scores(self.candidates, E.popularity_scores(self.train, self.candidates)))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -114,7 +128,7 @@ query(
     "catalog_coverage_anti",
     f"""WITH {Q.TAGS}, {Q.MOVIES} SELECT DISTINCT {M} FROM tags t WHERE NOT EXISTS (SELECT 1 FROM movies m WHERE m.{M} = t.{M} AND m.genres LIKE '%A%')""",
 )(lambda v: P.uncatalogued(v.tags, v.movies.filter(F.col("genres").contains("A"))))
-query("temporal_split", f"WITH {Q.BASE} SELECT * FROM splits")(lambda v: v.splits)
+query("temporal_split", f"WITH {Q.BASE} SELECT * FROM splits")(lambda v: P.temporal_split(v.ratings))
 query(
     "split_summary",
     f"""WITH {Q.BASE} SELECT split, count(*) AS n_ratings, count(DISTINCT {U}) AS n_users, count(DISTINCT {M}) AS n_movies, count(*) FILTER (rating >= {THRESHOLD}) AS n_positive, round(avg(rating), 9) AS mean_rating,
@@ -140,10 +154,10 @@ for _name, _pick, _order in (
     query(_name, f"WITH {Q.BASE}, {Q.pick(f'SELECT * FROM splits WHERE rating >= {THRESHOLD}', _order, 'c')} SELECT * FROM c")(
         lambda v, _pick=_pick: P.pick_positive(v.splits.filter(F.col("rating") >= THRESHOLD), _pick, SEED)
     )
-query("candidates", f"WITH {Q.CANDIDATES} SELECT * FROM candidates")(lambda v: v.candidates)
+query("candidates", f"WITH {Q.CANDIDATES} SELECT * FROM candidates")(lambda v: v.new_candidates())
 for _name, _hard in (("train_groups_easy", ""), ("train_groups_hard_popular", "popular"), ("train_groups_hard_real", "real")):
-    query(_name, f"WITH {Q.groups(_hard)} SELECT * FROM groups")(lambda v, _hard=_hard: v.groups(_hard))
-query("group_size_check", f"WITH {Q.groups('real')} SELECT {U}, count(*) AS n, sum(label)::BIGINT AS positives FROM groups GROUP BY 1 HAVING count(*) <> {K + 1} OR sum(label) <> 1")(lambda v: P.check_groups(v.groups("real"), K + 1))
+    query(_name, f"WITH {Q.groups(_hard)} SELECT * FROM groups")(lambda v, _hard=_hard: v.new_groups(_hard))
+query("group_size_check", f"WITH {Q.groups('real')} SELECT {U}, count(*) AS n, sum(label)::BIGINT AS positives FROM groups GROUP BY 1 HAVING count(*) <> {K + 1} OR sum(label) <> 1")(lambda v: P.check_groups(v.new_groups("real"), K + 1))
 query(
     "dev_user_sample", f"WITH {Q.RATINGS} SELECT * FROM ratings SEMI JOIN (SELECT DISTINCT {U}, {Q.keyed('dev', 'userId')} AS h FROM ratings ORDER BY h, {U} LIMIT 100) USING ({U})"
 )(lambda v: v.ratings.join(readers.sample_users(v.ratings, 100, SEED), "userId", "left_semi"))
@@ -313,7 +327,7 @@ query(
     f"""WITH {Q.FULL}, {Q.COSINE}, {Q.communities(LPA_ITERATIONS)}, n AS (SELECT {U}, count(*) AS n FROM liked GROUP BY 1)
 SELECT {U}, label, round(count(*) / any_value(n), 9) AS share FROM liked JOIN lp USING ({M}) JOIN n USING ({U}) GROUP BY {U}, label""",
 )(lambda v: G.community_profile(v.liked, G.label_propagation(v.edges, LPA_ITERATIONS)))
-query("louvain_communities")(lambda v: G.louvain(v.edges, 5.0, levels=2, sweeps=2))
+query("louvain_communities")(lambda v: G.louvain(v.edges, 5.0))
 query(
     "graph_features_loo",
     f"""WITH {Q.groups("")}, {Q.LIKED}, {Q.COSINE}, {Q.pagerank(PAGERANK_ITERATIONS)}, {Q.communities(LPA_ITERATIONS)},
@@ -345,8 +359,7 @@ _windows = f"WITH {Q.CANDIDATES}, {_hist}, {_sums(U, (7, 30, 90), 'user_activity
 
 
 def _activity(v: Views, mode: str) -> DataFrame:
-    daily = lambda key: replay.merged_counts(replay.daily_counts(v.history, key), key)
-    return activity.activity_features(v.candidates, daily("userId"), daily("movieId"), mode)
+    return activity.activity_features(v.candidates, v.daily("userId"), v.daily("movieId"), mode)
 
 
 query("activity_windows", f"{_windows} SELECT c.*, user_activity_7d, user_activity_30d, user_activity_90d, movie_recent_7d, movie_recent_30d FROM candidates c JOIN user_activity USING (cand_id) JOIN movie_recent USING (cand_id)")(
@@ -370,8 +383,7 @@ query("top_active_users", f"WITH {Q.BASE}, {_hist} SELECT {U}, count(*) AS n FRO
 
 def _run(v: Views) -> tuple[dict[str, str], DataFrame]:
     """A replay of the history in the shared folder."""
-    G.cut(v.spark.range(1))  # names a checkpoint folder where the session has none
-    root = f"{(v.spark.conf.get('spark.checkpoint.dir', None) or v.spark.sparkContext.getCheckpointDir()).rstrip('/')}/replay-{uuid.uuid4().hex}"
+    root = f"{scratch_dir(v.spark)}/replay-{uuid.uuid4().hex}"
     parts = v.history.withColumn("rating", F.col("rating").cast("float"))
     sinks.write_replay(parts, f"{root}/events", 6)
     return replay.run_stream(v.spark, f"{root}/events", f"{root}/out", f"{root}/checkpoint", v.movies, 2, seed=SEED, snapshot_batches=(0, 1, 2)), parts
