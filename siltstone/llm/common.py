@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -12,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import drop_written, written
+
+__all__ = ["BLANK", "drop_written", "few", "key_name", "let", "read", "ship", "vocabulary_path", "word_array", "written"]
+
 #: Characters that part words (fixed values: space, and tab to carriage return).
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -30,6 +33,11 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK, -1), "")
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """``df`` for a join: to be broadcast if its counted rows are ``most`` or fewer, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def key_name(df: DataFrame, stem: str) -> str:
     """A column name starting with ``stem`` that ``df`` does not have (names are compared as Spark does)."""
     taken = {c.lower() for c in df.columns}
@@ -38,25 +46,6 @@ def key_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only if the session has none, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` as a table in the shared folder: it is computed once and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def vocabulary_path(name: str) -> str:
     """Where a public tokenizer's file lies on this machine; ``SILTSTONE_TOKENIZERS`` overrides the installed place."""
     base = os.environ.get("SILTSTONE_TOKENIZERS")

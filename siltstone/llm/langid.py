@@ -4,10 +4,13 @@ Model: for each language, log-probabilities of the character trigrams of its
 words (with word marks) and of its whole words, and the scripts that its
 letters come from.  Prediction: a word's script, by code-point ranges, narrows
 the languages to those that write it; each candidate gets the mean
-log-probability of the word's features, times a word weight that grows with
-its length; Viterbi over the words with a penalty for each switch labels them,
-and runs of one label are the spans of a mixed text.  The text's language is
-the one with the most letters, the score its share of all letters.
+log-probability of the word's features, times a word weight; Viterbi over the
+words with a penalty for each switch labels them, and runs of one label are
+the spans of a mixed text.  A language that does not write a word's script is
+no candidate for it, whatever its neighbours are; a script that no language
+writes is no evidence for any.  The text's language is the one with the most
+letters; the score is its share of all letters times its probability, against
+the other languages, over the words that are labelled with it.
 
 Nearly all texts are of one language, and that is proved without the full
 search: if no run of words gains more than half the penalty over the best
@@ -16,19 +19,21 @@ switch for two such runs).  Only the other texts are searched.
 
 The model is fitted on a bounded sample: up to ``rows`` training texts of each
 language, those of the least hash, with texts that occur under two languages
-left out.  Its size is bounded by ``features``; it is sent to the executors as
-data of that size.
+left out.  All features of the sample are kept.  The model is arrays: sorted
+64-bit feature hashes and, for each, the languages that have it with their
+log-probabilities; so its size is that of the sample's distinct pairs of
+feature and language, 14 bytes each.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; rows without a language teach nothing; without any training row all
 predictions are ``und``; repeated rows are rows of their own; ties go to the
-language that sorts first; an empty table gives an empty table.
+language that sorts first; texts of any length are read whole; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,7 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, ship, written
+from . import spans
+from .common import few, read, ship, written
 
 UNKNOWN = "und"
 #: Upper ends of script ranges (code points, end exclusive) and the scripts (fixed values, from the Unicode blocks).
@@ -49,14 +55,21 @@ SCRIPTS = [
     (0xFB00, "han"), (0x20000, "other"), (0x40000, "han"), (0x110000, "other"),
 ]
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-#: Words whose scores a worker remembers.
-REMEMBERED = 500_000
+#: Numbers (words times languages) that a worker remembers.
+REMEMBERED = 4_000_000
+#: Characters of a block of texts whose words are looked up together; a longer text is one by itself.
+BLOCK_CHARS = 500_000
+#: A language's disadvantage for a word of a script that it does not write: no path through it can win.
+NEVER = -1e9
+#: Languages up to this many are broadcast with their sizes.
+BROADCAST_ROWS = 100_000
+#: Parts the hashes of whole words from those of trigrams.
+_WHOLE = np.uint64(0x5851F42D4C957F2D)
 
 
 @dataclass(frozen=True)
 class Params:
     rows: int = 1500  # training texts of a language
-    features: int = 60_000
     penalty: float = 8.0
     smoothing: float = 0.2
     script_share: float = 0.001  # of a language's letters, for it to be a candidate in that script
@@ -68,8 +81,12 @@ class Params:
 class Model:
     langs: list[str]
     params: Params
-    rows: dict[str, int] = field(default_factory=dict)
-    logs: np.ndarray = field(default_factory=lambda: np.zeros((1, 0)))  # the last row is that of unseen features
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # of features, rising
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each feature's entries below
+    owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint16))  # the languages that have the feature
+    logs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # and their log-probabilities, less those of an absent feature
+    whole: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))  # whether the feature is a word
+    absent: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))  # log-probabilities of absent trigrams and words, by language
     scripts: dict[str, np.ndarray] = field(default_factory=dict)
 
 
@@ -90,23 +107,44 @@ def has_letter(word: str) -> bool:
     return any(map(str.isalpha, word))
 
 
-def word_features(word: str) -> list[str]:
-    w = f"^{word.lower()}$"
-    return [w, *[w[i : i + 3] for i in range(len(w) - 2)]]
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words' features end to end, each word's own and then its trigrams, and their offsets."""
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    cp, offsets = spans.code_points([f"^{w.lower()}$" for w in words])
+    sizes = np.diff(offsets) - 1  # the word itself, and its length less two trigrams
+    bounds = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(sizes, out=bounds[1:])
+    at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
+    first = np.repeat(offsets[:-1], sizes)
+    starts = np.where(at == 0, first, first + at - 1)
+    ends = np.where(at == 0, np.repeat(offsets[1:], sizes), starts + 3)
+    made = spans.span_hash(cp, starts, ends)
+    made[bounds[:-1]] ^= _WHOLE
+    return made, bounds
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Feature and script counts of training texts, by language."""
-    counts: dict[str, Counter] = {}
+    """Feature and script counts of training texts: lang, kind (0 trigram, 1 word, 2 script), feature (a hash, or the script's number) and n."""
+    names = sorted({s for _, s in SCRIPTS})
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = counts.setdefault(lang, Counter())
-            for word, n in Counter(words_of(text)).items():
-                for f in word_features(word):
-                    own[f] += n
-                own["\x00" + script_of(word)] += n * len(word)
-    for lang, own in counts.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own)), pa.array(list(own.values()), pa.int64())], names=["lang", "feature", "n"])
+        langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
+        for lang in dict.fromkeys(langs):
+            words, n = np.unique(np.array([w for i in np.flatnonzero(langs == lang) for w in words_of(texts[i])], object), return_counts=True)
+            words = words.tolist()
+            hashes, bounds = word_features(words)
+            weight = np.repeat(n, np.diff(bounds))
+            own = np.zeros(len(hashes), bool)
+            own[bounds[:-1]] = True
+            letters = np.zeros(len(names), np.int64)
+            for w, times in zip(words, n.tolist(), strict=True):
+                letters[names.index(script_of(w))] += times * len(w)
+            for kind, keys, times in ((0, hashes[~own], weight[~own]), (1, hashes[own], weight[own]), (2, np.arange(len(names)).astype(np.uint64), letters)):
+                keys, which = np.unique(keys, return_inverse=True)
+                total = np.bincount(which, times, len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(keys)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(total)], names=["lang", "kind", "feature", "n"]
+                )
 
 
 def train(rows: DataFrame, params: Params | None = None) -> Model:
@@ -116,35 +154,36 @@ def train(rows: DataFrame, params: Params | None = None) -> Model:
     keyed = rows.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.col("id").cast("string")).alias("h"), F.xxhash64("text").alias("t"))
     single = keyed.groupBy("t").agg(F.min("lang").alias("lang"), F.max("lang").alias("other"), F.min("h").alias("h")).filter("lang = other")
     single = written(single.select("t", "lang", "h"), "single-language-texts")
-    # Hashes are even: four times the wanted share holds the least ones, so only about so many rows are ranked.
-    sizes = single.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))
+    # Hashes are even: four times the wanted share holds the least ones, so only about so many rows of a language are ranked.
+    sizes = few(written(single.groupBy("lang").agg(F.count(F.lit(1)).alias("c")), "languages"), BROADCAST_ROWS)
     low = single.join(sizes, "lang").filter(F.col("h").cast("double") <= -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), F.lit(4.0 * params.rows) / F.col("c")))
     chosen = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).filter(F.col("r") <= params.rows)
     sample = keyed.join(F.broadcast(chosen.select("lang", "t", "h")), ["lang", "t", "h"], "left_semi").dropDuplicates(["lang", "t"])
-    counted = sample.select("lang", "text").mapInArrow(_count, "lang string, feature string, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    counted = sample.select("lang", "text").mapInArrow(_count, "lang string, kind int, feature bigint, n bigint").groupBy("lang", "kind", "feature").agg(F.sum("n").alias("n"))
     counted = written(counted, "feature-counts")
-    is_script = F.col("feature").startswith("\x00")
-    top = counted.filter(~is_script).groupBy("feature").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "feature").limit(params.features)
-    # Two columns of strings and one of numbers, at most ``features`` times the languages.
-    found = counted.join(top.select("feature"), "feature", "left_semi").unionByName(counted.filter(is_script)).select("lang", "feature", "n").toArrow().to_pydict()
-    langs = sorted(set(found["lang"]))
-    at = {lang: i for i, lang in enumerate(langs)}
-    names = sorted({f for f in found["feature"] if f[0] != "\x00"})
-    model = Model(langs, params, {f: i for i, f in enumerate(names)})
-    counts = np.zeros((len(names) + 1, len(langs)))
-    letters = {f[1:]: np.zeros(len(langs)) for f in found["feature"] if f[0] == "\x00"}
-    for lang, feature, n in zip(found["lang"], found["feature"], found["n"], strict=True):
-        if feature[0] == "\x00":
-            letters[feature[1:]][at[lang]] += n
-        else:
-            counts[model.rows[feature], at[lang]] += n
-    whole = np.array([f[0] == "^" and f[-1] == "$" for f in names] + [False], bool)
-    model.logs = np.zeros_like(counts)
-    for kind in (whole, ~whole):  # words and trigrams are two distributions
-        own = counts[kind] + params.smoothing
-        model.logs[kind] = np.log(own / own.sum(0))
-    share = sum(letters.values(), np.zeros(len(langs)))
-    model.scripts = {s: n >= params.script_share * np.maximum(share, 1) for s, n in letters.items()}
+    langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
+    model = Model(langs, params)
+    if not langs:
+        return model
+    # Three columns of numbers, 18 bytes for each feature of a language's sample.
+    number = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i).cast("short"))])
+    found = counted.select("kind", number[F.col("lang")].alias("l"), "feature", "n").toArrow()
+    kind, owner, feature, n = (found.column(i).to_numpy() for i in range(4))
+    feature = feature.view(np.uint64)
+    names, letters = sorted({s for _, s in SCRIPTS}), np.zeros((len(SCRIPTS), len(langs)))
+    np.add.at(letters, (feature[kind == 2].astype(np.int64), owner[kind == 2]), n[kind == 2])
+    model.scripts = {s: letters[i] >= params.script_share * np.maximum(letters.sum(0), 1) for i, s in enumerate(names) if letters[i].any()}
+    model.scripts = {s: can for s, can in model.scripts.items() if can.any()}
+    parts = kind < 2
+    kind, owner, feature, n = kind[parts], owner[parts], feature[parts], n[parts]
+    order = np.lexsort((owner, feature))
+    kind, owner, feature, n = kind[order], owner[order], feature[order], n[order]
+    first = np.flatnonzero(np.append(True, feature[1:] != feature[:-1])) if len(feature) else np.zeros(0, np.int64)
+    model.hashes, model.bounds, model.owners, model.whole = feature[first], np.append(first, len(feature)), owner.astype(np.uint16), kind[first] == 1
+    # Words and trigrams are two distributions, each smoothed over all of its features.
+    total = np.stack([np.bincount(owner[kind == k], n[kind == k], len(langs)) + params.smoothing * (model.whole == k).sum() for k in (0, 1)])
+    model.absent = np.log(params.smoothing / np.maximum(total, params.smoothing))
+    model.logs = (np.log((n + params.smoothing) / params.smoothing)).astype(np.float32)
     return model
 
 
@@ -152,29 +191,37 @@ class Labeller:
     """Labels the words of texts; scores of words are remembered."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.table, self.size = model, {}, np.zeros((1 << 12, len(model.langs))), 0
+        self.model, self.known, self.table, self.size = model, {}, np.zeros((1 << 12, len(model.langs)), np.float32), 0
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Per word and language, how much worse it is than the best language for that word (zero or less)."""
-        model = self.model
-        found = [[r for f in word_features(w) if (r := model.rows.get(f)) is not None] for w in words]
-        sizes = np.array([len(r) for r in found])
-        score = np.zeros((len(words), len(model.langs)))
-        seen = np.flatnonzero(sizes)
-        if len(seen):
-            flat = np.concatenate([found[i] for i in seen.tolist()]).astype(np.int64)
-            first = np.concatenate([[0], np.cumsum(sizes[seen])[:-1]])
-            score[seen] = np.add.reduceat(model.logs[flat], first, axis=0) / sizes[seen, None] * model.params.word_weight
-        scripts = [script_of(w) for w in words]
-        for script in set(scripts):
-            can = model.scripts.get(script)
-            if can is not None and can.any() and not can.all():
-                score[np.ix_([i for i, s in enumerate(scripts) if s == script], np.flatnonzero(~can))] = -np.inf
-        return np.maximum(score - score.max(1, keepdims=True), -model.params.worst)
+        model, n_langs = self.model, len(self.model.langs)
+        score = np.zeros((len(words), n_langs))
+        if len(model.hashes):
+            hashes, bounds = word_features(words)
+            word = np.repeat(np.arange(len(words)), np.diff(bounds))
+            at = np.minimum(np.searchsorted(model.hashes, hashes), len(model.hashes) - 1)
+            seen = model.hashes[at] == hashes
+            word, at = word[seen], at[seen]
+            n = np.bincount(word, minlength=len(words))
+            for k in (False, True):
+                score += np.outer(np.bincount(word[model.whole[at] == k], minlength=len(words)), model.absent[int(k)])
+            entries, ends = spans.take(np.arange(len(model.owners)), model.bounds, at)
+            cell = np.repeat(word, np.diff(ends)) * n_langs + model.owners[entries]
+            score += np.bincount(cell, model.logs[entries], len(words) * n_langs).reshape(len(words), n_langs)
+            score *= model.params.word_weight / np.maximum(n, 1)[:, None]
+        candidate = np.ones((len(words), n_langs), bool)
+        scripts = np.array([script_of(w) for w in words])
+        for script in set(scripts.tolist()):
+            if script in model.scripts:
+                candidate[scripts == script] = model.scripts[script]
+        best = np.where(candidate, score, -np.inf).max(1, keepdims=True)
+        return np.where(candidate, np.maximum(score - best, -model.params.worst), NEVER)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
+        if self.size * len(self.model.langs) > REMEMBERED:
             self.known, self.size = {}, 0
+            self.table = np.zeros((1 << 12, len(self.model.langs)), np.float32)
         known = self.known
         fresh = [w for w in dict.fromkeys(words) if w not in known]
         if fresh:
@@ -183,7 +230,7 @@ class Labeller:
             self.table[self.size : self.size + len(fresh)] = self.word_scores(fresh)
             known.update(zip(fresh, range(self.size, self.size + len(fresh)), strict=True))
             self.size += len(fresh)
-        return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+        return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].astype(np.float64)
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The best labels of a text's words."""
@@ -195,6 +242,14 @@ class Labeller:
             return np.full(len(scores), best)
         return viterbi(scores, self.model.params.penalty)
 
+    def verdict(self, path: np.ndarray, scores: np.ndarray, sizes: list[int]) -> tuple[str, float]:
+        """Language and score of a labelled text: the share of letters times the probability over the words that have them."""
+        letters = np.bincount(path, sizes, len(self.model.langs))
+        best = int(np.argmax(letters))
+        total = scores[path == best].sum(0)
+        chance = 1.0 / np.exp(np.minimum(total - total[best], 700.0)).sum()
+        return self.model.langs[best], round(float(letters[best] / letters.sum() * chance), 6)
+
     def label(self, text: str | None) -> tuple[str, float, list[tuple[str, int, int]]]:
         """Language, score and spans (language, start, end in code points) of a text."""
         if not text or not self.model.langs:
@@ -202,22 +257,30 @@ class Labeller:
         found = [(m.start(), m.end()) for m in _WORD.finditer(text)]
         if not any(has_letter(text[a:b]) for a, b in found):
             return UNKNOWN, 0.0, []
-        path = self.path(self.scores([text[a:b] for a, b in found]))
+        scores = self.scores([text[a:b] for a, b in found])
+        path = self.path(scores)
         edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-        spans = [(self.model.langs[path[a]], found[a][0], found[b - 1][1]) for a, b in zip(edges, edges[1:], strict=False)]
-        letters = np.bincount(path, [b - a for a, b in found], len(self.model.langs))
-        return self.model.langs[int(np.argmax(letters))], float(letters.max() / letters.sum()), spans
+        runs = [(self.model.langs[path[a]], found[a][0], found[b - 1][1]) for a, b in zip(edges, edges[1:], strict=False)]
+        return *self.verdict(path, scores, [b - a for a, b in found]), runs
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score alone."""
-        words = words_of(text) if text and self.model.langs else []
-        if not any(map(has_letter, words)):
-            return UNKNOWN, 0.0
-        path = self.path(self.scores(words))
-        if path[0] == path[-1] and (path == path[0]).all():
-            return self.model.langs[path[0]], 1.0
-        letters = np.bincount(path, [len(w) for w in words], len(self.model.langs))
-        return self.model.langs[int(np.argmax(letters))], float(letters.max() / letters.sum())
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text; the new words of a block of texts are scored together."""
+        out, block, chars = [], [], 0
+        for i, text in enumerate(texts):
+            words = words_of(text) if text and self.model.langs else []
+            block.append(words if any(map(has_letter, words)) else [])
+            chars += len(text or "")
+            if chars >= BLOCK_CHARS or i + 1 == len(texts):
+                scores, at = self.scores([w for words in block for w in words]), 0
+                for words in block:
+                    own, at = scores[at : at + len(words)], at + len(words)
+                    out.append(self.verdict(self.path(own), own, list(map(len, words))) if words else (UNKNOWN, 0.0))
+                block, chars = [], 0
+        return out
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -239,7 +302,7 @@ def _predicting(model):  # noqa: ANN001, ANN202  a broadcast model
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model.value)
         for batch in batches:
-            made = [labeller.predict(t) for t in batch.column(1).to_pylist()]
+            made = labeller.predict_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=["id", "lang_pred", "score"])
 
     return work

@@ -118,6 +118,41 @@ def test_shortcut_gives_the_viterbi_path():
         assert value(scores, labeller.path(scores)) == pytest.approx(value(scores, langid.viterbi(scores, 8.0)))
 
 
+def test_labels_equal_the_best_of_all_paths():
+    """Every path of short mixed texts is tried, with the scores of the definition."""
+    import itertools
+
+    import numpy as np
+
+    model = langid.Model(["a", "b", "c"], langid.Params(), scripts={"latin": np.array([True, True, False]), "cyrillic": np.array([False, False, True])})
+    labeller, rng = langid.Labeller(model), np.random.default_rng(3)
+    for _ in range(60):
+        words = [rng.choice(["x", "ж"]) for _ in range(rng.integers(1, 7))]
+        scores = np.array([[-rng.exponential(2.0) if model.scripts[langid.script_of(w)][k] else langid.NEVER for k in range(3)] for w in words])
+        value = lambda p: sum(scores[i, k] for i, k in enumerate(p)) - 8.0 * sum(x != y for x, y in zip(p, p[1:], strict=False))  # noqa: E731, B023
+        best = max(map(value, itertools.product(range(3), repeat=len(words))))
+        found = labeller.path(scores)
+        assert value(found.tolist()) == pytest.approx(best)
+        assert all(model.scripts[langid.script_of(w)][k] for w, k in zip(words, found, strict=True))
+
+
+def test_scripts_narrow_and_scores_mean_something(spark):
+    said = {"en": "hello my good friend said the man today", "ru": "привет мир сказал человек сегодня"}
+    rows = [(i, lang, " ".join((words.split() * 3)[i % 5 :])) for lang, words in said.items() for i in range(20)] * 2
+    model = langid.train(spark.createDataFrame(rows, "id long, lang string, text string"))
+    labeller = langid.Labeller(model)
+    text = "hello my good friend привет мир said the man today"
+    lang, score, runs = labeller.label(text)
+    assert lang == "en" and [(k, text[a:b]) for k, a, b in runs] == [("en", "hello my good friend"), ("ru", "привет мир"), ("en", "said the man today")]
+    assert 0.7 < score < 0.85
+    assert labeller.predict("你好")[1] == 0.5  # a script that none writes tells nothing
+    assert labeller.predict("said the man")[1] > 0.99
+    assert labeller.predict_all(["hello my", None, "привет", "12", "hello my"]) == [labeller.predict(t) for t in ("hello my", None, "привет", "12", "hello my")]
+    assert labeller.predict("привет мир " * 50000) == ("ru", 1.0)
+    many = langid.train(spark.createDataFrame([(i, "en", f"w{i}x" + "q" * (i % 9) + " " + " ".join(chr(97 + (i * j) % 26) * 3 + str(i) for j in range(9))) for i in range(50)], "id long, lang string, text string"))
+    assert len(many.hashes) == len(many.whole) == len(many.bounds) - 1  # no feature is cut
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
 def test_language_of_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
