@@ -9,18 +9,23 @@ nodes, as is the page's title (``h1``) where it is not a link.  The innermost
 container that holds all of them is the article (one that says so goes before
 others); every block in it is kept, so headings and short paragraphs stay.  Paths through
 elements that are never article text (navigation, headers, footers, asides,
-forms, adverts, notices, reader comments, scripts, styles) have ratio zero.
+forms, adverts, notices, reader comments, scripts, styles) have ratio zero;
+inside a block the text of such an element (an inline advert, a hidden mark)
+is left out alone.
 
-Each page is worked on by itself: no shuffle.
+Each page is worked on by itself: no shuffle.  Elements are a tree of parent
+pointers, so time and memory grow with the page, however deep it is nested.
 
 Defined results: null, empty or text-free pages have the empty text; unclosed
-and misnested tags end with the element around them; repeated rows and null
+and misnested tags end with the element around them; very long and very deep
+pages are read whole; repeated rows and null
 ids are rows of their own; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,7 +61,8 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PART = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|toolbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|pagination|pager|skip|contentinfo|complementary|search)", re.IGNORECASE)
 LAYOUT = frozenset("area article articles bar block box btn button buttons col column container content entry form group icons inner item items left link links list main media page panel post posts right section site slot stories thread top bottom unit user widget widgets wrap wrapper".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([A-Za-z][^\s/>]*)[^>]*>?|<([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: An attribute's name and value; taken in turn, so names inside a value are its text.
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
 
 #: Share of the mean fused ratio that a content node needs.
@@ -81,90 +87,143 @@ def _is_marked(name: str, marks: dict[str, str], inside: bool) -> bool:
 
 @dataclass
 class Block:
-    path: str
-    nodes: tuple[tuple[int, bool], ...]  # containers around it: number, and whether it says that it is an article
+    path: int  # the number of its path of tags
+    node: int  # the element around it that is not inline, by number; 0 is the page
     text: str
     links: int  # characters of link text
     barred: bool
     title: bool = False
 
 
+class Page:
+    """The blocks of a page in page order, and the tree of its elements by parent pointers.
+
+    Elements are numbered as they start, so the elements inside one are a run of
+    numbers and the innermost of two is the one with the higher number.
+    """
+
+    def __init__(self, html: str):
+        self.blocks: list[Block] = []
+        self.parents, self.names, self.last = [0], [""], [0]
+        self._paths: dict[tuple[int, str], int] = {}
+        self._stack: list[tuple[int, str, int, bool]] = [(0, "", 0, False)]  # number, name, path, barred, from the page inwards
+        self._open: dict[str, list[int]] = {}  # places in the stack of open elements, by name
+        self._walls: list[int] = []
+        self._words: list[tuple[str, bool]] = []
+        self._links = 0
+        self._read(html)
+        self._flush()
+        self._pop(1)
+        self.last[0] = len(self.parents) - 1
+
+    def _flush(self) -> None:
+        """Ends a block: runs of barred text inside it (an inline advert, a hidden mark) are not its text."""
+        if not self._words:
+            return
+        at = len(self._stack) - 1
+        while at and self._stack[at][1] in INLINE:
+            at -= 1
+        number, _, path, _ = self._stack[at]
+        title = any(i <= at for i in self._open.get("h1", ())[:1])
+        for barred in (False, True):
+            text = " ".join("".join(w for w, b in self._words if b == barred or not w.strip()).split())
+            if text:
+                self.blocks.append(Block(path, number, text, 0 if barred else self._links, barred, title))
+        self._words.clear()
+        self._links = 0
+
+    def _add(self, raw: str) -> None:
+        barred, text = self._stack[-1][3], unescape(raw)
+        self._words.append((text, barred))
+        if self._open.get("a") and not barred:
+            self._links += len(text.strip())
+
+    def _pop(self, to: int) -> None:
+        while len(self._stack) > to:
+            number, name, _, _ = self._stack.pop()
+            self.last[number] = len(self.parents) - 1
+            self._open[name].pop()
+            if name in WALLS:
+                self._walls.pop()
+
+    def _push(self, name: str, marks: dict[str, str]) -> None:
+        number, path, barred = self._stack[-1][0], self._stack[-1][2], self._stack[-1][3]
+        inside = bool(self._open.get("article") or self._open.get("main"))
+        never = (name in NEVER and not (name == "header" and inside)) or "hidden" in marks
+        never = never or (name not in ("html", "body", "article", "main") and _is_marked(name, marks, inside))
+        label = name + "".join("." + c for c in sorted(re.sub(r"\d+", "", marks.get("class", "")).split()))
+        # A path is its parent's number and its own last tag, so a deep page's paths take no more room than its tags.
+        path = path if name in INLINE else self._paths.setdefault((path, label), len(self._paths) + 1)
+        self.parents.append(number)
+        self.names.append(name)
+        self.last.append(0)
+        self._open.setdefault(name, []).append(len(self._stack))
+        if name in WALLS:
+            self._walls.append(len(self._stack))
+        self._stack.append((len(self.parents) - 1, name, path, barred or never))
+
+    def _start(self, name: str, attributes: str) -> None:
+        if name == "br":
+            self._words.append((" ", self._stack[-1][3]))
+            return
+        if name not in INLINE:
+            self._flush()
+            # The outermost of the elements that it ends, within the innermost wall.
+            wall, ends = self._walls[-1] if self._walls else 0, []
+            for closed in ("p", *CLOSES.get(name, ())):
+                places = self._open.get(closed, ())
+                first = bisect_right(places, wall)
+                ends += places[first : first + 1]
+            if ends:
+                self._pop(min(ends))
+        if name not in VOID:
+            self._push(name, {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)} if attributes else {})
+
+    def _end(self, name: str) -> None:
+        if name not in INLINE:
+            self._flush()
+        places = self._open.get(name)
+        if places:
+            self._pop(places[-1])
+
+    def _read(self, html: str) -> None:
+        at = 0
+        while at < len(html):
+            token = _TOKEN.search(html, at)
+            if not token:
+                self._add(html[at:])
+                break
+            if token.start() > at:
+                self._add(html[at : token.start()])
+            at = token.end()
+            if token[1]:
+                self._end(token[1].lower())
+            elif token[2]:
+                name = token[2].lower()
+                if name in RAW:
+                    end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.IGNORECASE).search(html, at)
+                    at = end.end() if end else len(html)
+                else:
+                    self._start(name, token[3])
+
+    def around(self, found: list[Block]) -> int:
+        """The innermost container of all of ``found``; one that says that it is the article goes before others, 0 is the page."""
+        low, high = min(b.node for b in found), max(b.node for b in found)
+        while not low <= high <= self.last[low]:  # all lie in one that holds the first and the last of them
+            low = self.parents[low]
+        node, inner = low, None
+        while node:
+            if self.names[node] in ARTICLE:
+                return node
+            if inner is None and self.names[node] in CONTAINERS:
+                inner = node
+            node = self.parents[node]
+        return inner or 0
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks of a page, in page order, white space turned into single spaces."""
-    names, nodes, labels, barred = [], [], [], []
-    out: list[Block] = []
-    words: list[str] = []
-    links, made, at = 0, 0, 0
-
-    def flush() -> None:
-        nonlocal links
-        text = " ".join("".join(words).split())
-        if text:
-            depth = len(names)
-            while depth and names[depth - 1] in INLINE:
-                depth -= 1
-            out.append(Block("/".join(labels[:depth]), tuple((n, x in ARTICLE) for n, x in zip(nodes[:depth], names, strict=False) if x in CONTAINERS), text, links, any(barred), "h1" in names[:depth]))
-        words.clear()
-        links = 0
-
-    def add(raw: str) -> None:
-        nonlocal links
-        text = unescape(raw)
-        words.append(text)
-        if "a" in names:
-            links += len(text.strip())
-
-    def pop(to: int) -> None:
-        del names[to:], nodes[to:], labels[to:], barred[to:]
-
-    while at < len(html):
-        token = _TOKEN.search(html, at)
-        if not token:
-            add(html[at:])
-            break
-        if token.start() > at:
-            add(html[at : token.start()])
-        at = token.end()
-        if token[1]:
-            name = token[1].lower()
-            if name in names:
-                if name not in INLINE:
-                    flush()
-                pop(len(names) - 1 - names[::-1].index(name))
-            elif name not in INLINE:
-                flush()
-        elif token[2]:
-            name = token[2].lower()
-            if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.IGNORECASE).search(html, at)
-                at = end.end() if end else len(html)
-                continue
-            if name == "br":
-                words.append(" ")
-                continue
-            if name not in INLINE:
-                flush()
-                ends = CLOSES.get(name, ())
-                for i in range(len(names) - 1, -1, -1):
-                    if names[i] == "p" or names[i] in ends:
-                        pop(i)
-                    elif names[i] in WALLS:
-                        break
-            if name in VOID:
-                continue
-            marks = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(token[3])} if token[3] else {}
-            made += 1
-            names.append(name)
-            nodes.append(made)
-            kind = re.sub(r"\d+", "", marks.get("class", ""))
-            labels.append(name + "".join("." + c for c in sorted(kind.split())))
-            inside = "article" in names[:-1] or "main" in names[:-1]
-            header = name == "header" and inside
-            never = (name in NEVER and not header) or "hidden" in marks
-            never = never or (name not in ("html", "body", "article", "main") and _is_marked(name, marks, inside))
-            barred.append(never)
-    flush()
-    return out
+    return Page(html).blocks
 
 
 def path_scores(found: list[Block]) -> list[float]:
@@ -189,16 +248,16 @@ def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by one ``\\n``; empty if there is none."""
     if not html:
         return ""
-    found = blocks(html)
+    page = Page(html)
+    found = page.blocks
     scores = path_scores(found)
     open_ = [i for i, b in enumerate(found) if not b.barred]
     if not open_:
         return ""
     mean = sum(scores[i] * len(found[i].text) for i in open_) / sum(len(found[i].text) for i in open_)
     content = [i for i in open_ if scores[i] >= THRESHOLD * mean or (found[i].title and found[i].links < len(found[i].text))]
-    fit = set(found[content[0]].nodes).intersection(*(found[i].nodes for i in content))  # elements are numbered in order: the innermost is the last
-    article = max([n for n in fit if n[1]] or fit, default=None)
-    return "\n".join(found[i].text for i in open_ if article is None or article in found[i].nodes)
+    article = page.around([found[i] for i in content])
+    return "\n".join(found[i].text for i in open_ if article <= found[i].node <= page.last[article])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

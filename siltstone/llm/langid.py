@@ -98,6 +98,11 @@ def script_of(word: str) -> str:
     return SCRIPTS[int(np.searchsorted(_ends, ord(word[0]), "right"))][1]
 
 
+def scripts_of(words: list[str]) -> np.ndarray:
+    """The scripts of all words, as rows of ``SCRIPTS``."""
+    return np.searchsorted(_ends, np.fromiter((ord(w[0]) for w in words), np.int64, len(words)), "right")
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text)
 
@@ -137,8 +142,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.zeros(len(hashes), bool)
             own[bounds[:-1]] = True
             letters = np.zeros(len(names), np.int64)
-            for w, times in zip(words, n.tolist(), strict=True):
-                letters[names.index(script_of(w))] += times * len(w)
+            for (_, script), times in zip(SCRIPTS, np.bincount(scripts_of(words), n * np.array(list(map(len, words)), np.int64), len(SCRIPTS)).tolist(), strict=True):
+                letters[names.index(script)] += int(times)
             for kind, keys, times in ((0, hashes[~own], weight[~own]), (1, hashes[own], weight[own]), (2, np.arange(len(names)).astype(np.uint64), letters)):
                 keys, which = np.unique(keys, return_inverse=True)
                 total = np.bincount(which, times, len(keys)).astype(np.int64)
@@ -210,11 +215,8 @@ class Labeller:
             cell = np.repeat(word, np.diff(ends)) * n_langs + model.owners[entries]
             score += np.bincount(cell, model.logs[entries], len(words) * n_langs).reshape(len(words), n_langs)
             score *= model.params.word_weight / np.maximum(n, 1)[:, None]
-        candidate = np.ones((len(words), n_langs), bool)
-        scripts = np.array([script_of(w) for w in words])
-        for script in set(scripts.tolist()):
-            if script in model.scripts:
-                candidate[scripts == script] = model.scripts[script]
+        every = np.ones(n_langs, bool)
+        candidate = np.array([model.scripts.get(s, every) for _, s in SCRIPTS])[scripts_of(words)]
         best = np.where(candidate, score, -np.inf).max(1, keepdims=True)
         return np.where(candidate, np.maximum(score - best, -model.params.worst), NEVER)
 

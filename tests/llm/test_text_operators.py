@@ -3,6 +3,7 @@
 import hashlib
 import os
 import zlib
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +192,79 @@ def test_slugs_and_article_headers_stay():
     assert html.main_text(f'<div><h2 id="related-work">R</h2>{prose}<section id="search-engines">{prose}</section></div>').count("words") == 10
 
 
+def test_names_inside_values_are_no_attributes():
+    prose = "<p>Some words, here they are.</p>" * 3
+    assert html.main_text(f'<article data-summary="a hidden gem">{prose}</article>').count("words") == 3
+    assert html.main_text(f'<article>{prose}<p title="the hidden truth">One.</p><p data-x="my class=ad here">Two.</p><p data-y=\'id="footer"\'>Three.</p></article>').split("\n")[3:] == ["One.", "Two.", "Three."]
+    assert html.main_text(f'<article>{prose}<p hidden>One.</p><p class = "ad" >Two.</p></article>').count("\n") == 2
+
+
+def test_bars_travel_with_the_text():
+    prose = "<p>Some words, here they are.</p>" * 3
+    page = f'<article>{prose}<p>Be<span hidden>no</span>fore <span class="ad">BUY NOW</span> and <b>after</b>.</p><span class="ad">BUY</span><p>End<button>Go</button>ing.</p></article>'
+    assert html.main_text(page).split("\n")[3:] == ["Before and after.", "End", "ing."]
+
+
+def test_deep_pages_take_time_and_room_in_proportion():
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.process_time()
+    for page in ("<div>x" * 20000, "<b>x" * 20000, "<div>" * 20000 + "<p>x" * 20000, "<x-y>" * 20000 + "<p>a, b.</p>" * 20000, "<ul><li>x" * 10000):
+        assert html.main_text(page)
+    seconds, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seconds < 60 and peak < 200 * 2**20  # traced, which slows it about fivefold
+
+
+class Plain(HTMLParser):
+    """The article of a page without misnested tags, by its rules: every block that no barred element holds."""
+
+    BLOCK = "html body article main section div p h1 h2 h3 ul ol li nav header footer aside blockquote table tr td form pre".split()
+    OUT = "nav header footer aside form script style title".split()
+
+    def __init__(self, text):
+        super().__init__(convert_charrefs=True)
+        self.open, self.out, self.words = [], [], []
+        self.feed(text)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        made = " ".join("".join(self.words).split())
+        self.out += [made] if made else []
+        self.words = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.words.append(" ")
+        elif tag not in html.VOID:
+            if tag in self.BLOCK:
+                self.cut()
+                if "p" in self.open:  # a block ends an open paragraph
+                    del self.open[self.open.index("p") :]
+            self.open.append("ad" if tag == "div" and ("class", "ad") in attrs else tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCK:
+            self.cut()
+        name = "ad" if tag == "div" and self.open[-1:] == ["ad"] else tag
+        if name in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(name) :]
+
+    def handle_data(self, data):
+        if "article" in self.open and not any(t in self.OUT or t == "ad" for t in self.open):
+            self.words.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_pages_equal_a_plain_reader(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    found = {r["page_id"]: r["text"] for r in QUERIES["op6_html"](spark, DATA).collect()}
+    assert found == {i: "\n".join(Plain(page or "").out) for i, page in pages.items()}
+
+
 def test_pages_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (None, None, None, 2), (1, "u", PAGE, 1)], "page_id long, url string, html string, text int")
     rows = html.extract(pages).collect()
