@@ -4,23 +4,23 @@ Three patterns find secrets that stand for themselves: assignments, access
 identifiers and long hexadecimal strings.  Weak candidates, which look like
 parts of a credential (identifiers, random-looking secrets, endpoints), are
 reported only with their complement: parts are intervals, and an interval
-join within a scope (a passage between blank lines) looks for a complementary
-part within ``REACH`` code points.  An identifier needs a secret, a secret
-needs an identifier, an endpoint needs both.  The join runs over sorted
-intervals and running ends, so it is linear after the sort and makes no pairs.
+join looks for a complementary part in the same scope (a passage between blank
+lines), however far apart.  An identifier needs a secret, a secret needs an
+identifier, an endpoint needs both.  The join runs over sorted intervals and
+running ends, so it is linear after the sort and makes no pairs.
 
 Each text is scanned whole and by itself: no shuffle.  Positions are code
 points, ends exclusive.
 
 Defined results: null and empty texts have no spans; repeated rows and null
 ids are rows of their own; weak candidates that overlap a base span are that
-span; spans of one start are ordered as ``KINDS``; an empty table gives an
-empty table.
+span; spans of one start are ordered as ``KINDS``; texts of any length are
+scanned whole, in time that grows with them; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -34,7 +34,6 @@ from .common import read, ship
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "link_id", "link_secret", "link_endpoint")
-REACH = 200
 
 _FLAGS = re.ASCII | re.IGNORECASE
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _FLAGS)
@@ -45,7 +44,8 @@ _ID = re.compile(r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]{15,63}(?![A-Za-z0-9])")
 _BEGIN = r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z0-9])(?=[A-Z])))"
 _NAMED_ID = re.compile(_BEGIN + r"""(?:client[_-]?id|access[_-]?key(?:[_-]?id)?|user(?:[_-]?name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{4,}""", _FLAGS)
 _SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20"'<>]+|""" + _BEGIN + r"""(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]{3,}""", _FLAGS)
+#: A scheme is tried where its run of characters begins, not at each of them.
+_ENDPOINT = re.compile(r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20"'<>]+|""" + _BEGIN + r"""(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]{3,}""", _FLAGS)
 _SCOPE = re.compile(r"\n[\x20\x09\x0D]*\n")
 _DIGIT, _UPPER, _LOWER = re.compile("[0-9]"), re.compile("[A-Z]"), re.compile("[a-z]")
 
@@ -102,7 +102,7 @@ class _Intervals:
 
 
 def linked(text: str, base: list[Span], weak: list[Span]) -> list[Span]:
-    """The weak candidates with complementary parts in reach, within their scope."""
+    """The weak candidates with complementary parts in their scope."""
     taken = _Intervals(base)
     weak = [w for w in weak if not taken.meets(w[1], w[2])]
     if not weak:
@@ -115,7 +115,7 @@ def linked(text: str, base: list[Span], weak: list[Span]) -> list[Span]:
     out = []
     for kind, a, b in weak:
         scope = max(bisect_left(bounds, a + 1) - 1, 0)
-        low, high = max(a - REACH, bounds[scope]), min(b + REACH, bounds[min(scope + 1, len(bounds) - 1)])
+        low, high = bounds[scope], bounds[min(scope + 1, len(bounds) - 1)]
         if (kind == "link_id" or names.meets(low, high)) and (kind == "link_secret" or secrets.meets(low, high)):
             out.append((kind, a, b))
     return out
@@ -181,18 +181,3 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(F.col("id").alias("doc_id"), *[count(k) for k in BASE], F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
-
-
-def brute_force(text: str | None) -> tuple[int, int, int, str, str]:
-    """The query's columns for one text by comparing all pairs of parts (for tests)."""
-    text = text or ""
-    base = base_spans(text)
-    weak = [w for w in identifiers(text) + keys(text) + endpoints(text) if not any(w[1] < b and a < w[2] for _, a, b in base)]
-    cuts = [m.start() for m in _SCOPE.finditer(text)]
-    scope = lambda at: sum(c <= at for c in cuts)
-    near = lambda w, kinds: any(s[0] in kinds and scope(s[1]) == scope(w[1]) and s[1] < w[2] + REACH and w[1] - REACH < s[2] for s in base + weak)
-    ids, secret = ("access", "link_id"), ("assign", "hex", "link_secret")
-    kept = [w for w in weak if (w[0] == "link_id" or near(w, ids)) and (w[0] == "link_secret" or near(w, secret))]
-    order = lambda s: (s[1], KINDS.index(s[0]))
-    counts = [sum(s[0] == k for s in base) for k in BASE]
-    return (*counts, hashlib.sha256(joined(sorted(base, key=order)).encode()).hexdigest(), joined(sorted(base + kept, key=order)))
