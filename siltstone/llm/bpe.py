@@ -9,8 +9,15 @@ pre-token would be several times the input; a word comes once from a unit, so
 no word is hot however frequent it is.  Decoding joins ids with the table of
 token bytes, whose size is the vocabulary's.
 
-The input's partitions must replay alike if an executor is lost, as files and
-checkpoints do: unit names are a partition and a number within it.
+Unit names are a partition and a number within it, so the input's partitions
+must replay alike if an executor is lost.  Scans of files do; any other input
+is first written to the shared folder.
+
+Growth: a worker remembers the distinct words of its part up to
+``REMEMBERED`` and then begins anew, so its memory is bounded and a word beyond
+that may be encoded again.  A unit makes one row for each part that its words
+go to; ``parts`` is the number of shuffle partitions, which a cluster sets by
+the size of its input.
 
 Defined results: null and empty texts have no ids and decode to no bytes;
 repeated rows and null ids are rows of their own; an empty table gives an
@@ -33,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import read, ship, vocabulary_path
+from .common import read, ship, vocabulary_path, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters in a unit, about, and in a block of texts that is cut at a time; a longer text is one by itself.
@@ -41,6 +48,10 @@ UNIT_CHARS = 12_000_000
 BLOCK_CHARS = 1_000_000
 #: Ids that one output batch holds, about.
 BATCH_IDS = 1_000_000
+#: Words that a worker remembers with their ids.
+REMEMBERED = 2_000_000
+#: Operators of a plan whose partitions replay alike.
+_REPLAYED = ("Project", "Filter", "Relation", "SubqueryAlias", "LocalRelation", "Range")
 
 
 @lru_cache(maxsize=2)
@@ -53,7 +64,8 @@ def ranks(name: str) -> dict[bytes, int]:
 def encoding(name: str):  # noqa: ANN201  tiktoken's class
     import tiktoken
 
-    return tiktoken.Encoding(name, pat_str=r".+|\n+", mergeable_ranks=ranks(name), special_tokens={})
+    # The pattern takes the whole text: pre-tokens are found before.
+    return tiktoken.Encoding(name, pat_str=r"(?s).+", mergeable_ranks=ranks(name), special_tokens={})
 
 
 @lru_cache(maxsize=2)
@@ -200,6 +212,8 @@ def _encode(name: str) -> Callable:
         bounds, used = np.zeros(1 << 12, np.int64), 0
         for batch in batches:
             out = []
+            if len(known) > REMEMBERED:
+                known, used = {}, 0
             for kind, data in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if kind:
                     out.append(data)
@@ -212,7 +226,7 @@ def _encode(name: str) -> Callable:
                     at = end
                 fresh = [w for w in words if w not in known]
                 for word in fresh:
-                    ids = encoding(name)._encode_single_piece(word)
+                    ids = encoding(name).encode_ordinary(word.decode())
                     n = len(known)
                     if n + 2 > len(bounds):
                         bounds = np.concatenate([bounds, np.zeros(len(bounds), np.int64)])
@@ -256,17 +270,25 @@ def _assemble(unit: pa.Table) -> pa.Table:
     return pa.table({"id": ids, "ids": pa.ListArray.from_arrays(pa.array(of_docs.astype(np.int32)), pa.array(flat.astype(np.int32)))})
 
 
+def _replays(df: DataFrame) -> bool:
+    """Whether the plan is a scan of files, or of rows that the driver holds, with projections and filters alone."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return all(line.lstrip(" :+-").startswith(_REPLAYED) for line in lines if line.strip())
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``id`` and ``ids`` (array of int), one row per document."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not _replays(rows):
+        rows = written(rows, "texts")
     kind = rows.schema["id"].dataType
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = f"part int, unit bigint, kind int, ids array<{kind.simpleString()}>, data binary"
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spread = rows.mapInArrow(_spread(parts, to_arrow_type(kind)), packed).repartition(parts, "part")
+    spread = rows.mapInArrow(_spread(parts, to_arrow_type(kind)), packed).repartitionById(parts, "part")
     encoded = spread.mapInArrow(_encode(vocabulary), packed)
     return encoded.groupBy("unit").applyInArrow(_assemble, f"id {kind.simpleString()}, ids array<int>")
 
