@@ -13,22 +13,15 @@ with ``T`` collisions or more, and then:
 
 Groups of copies are linked without making their pairs.  In each posting list
 all classes meet the one whose values are the commonest (the text that the
-copies were made from, as a rule), then, outside the list's largest component,
-the commonest of the rest; links are contracted to components, and lists of
-one component are done.  Classes of open lists that share too few shingles
-with other components leave.  The rest are joined by an exact prefix filter:
-of the shingles that a class shares with another component, rarest first, all
-but the last ``0.8 n - 1`` are posted, for two similar sets of different
-components share at least ``0.8 n`` of those.  So every pair with a common
-posting is in one component, or compared, or too far apart for certain.
-
-One rule links pairs, whatever the list that they come from: ``T`` collisions
-of the signatures, and the similarity of the full sets.
-
-Long lists of the last join are split by a salt.  Its pairs grow with the
-square of a group only where many texts of different components share the rare
-shingles of each other without being similar; README has figures for such a
-group.
+copies were made from, as a rule); links are contracted to components, and
+lists of one component are done.  Short lists are compared pair by pair.  In
+the others, classes that share too few shingles with any other component
+leave, then all meet one from outside the list's main component.  What is left
+then is compared inside a join: classes outside the main component with all
+that are not of their own, where the shared shingles allow it.  So every pair with a
+common posting is in one component, or compared, or too far apart for certain.
+One rule links pairs, whatever list they come from: ``T`` collisions of the
+signatures, and the similarity of the full sets.
 
 Defined results: null and empty texts have the empty set, a component of their
 own and are kept; a null id never names a component unless all its members'
@@ -51,7 +44,9 @@ from .common import drop_written, key_name, read, ship, written
 
 #: Coordinates of a signature, and the collisions that a candidate pair needs.
 K, T = 24, 9
-#: Classes of a list that one task of the last join meets with the others.
+#: Posting lists of so many classes or fewer are compared pair by pair, longer ones inside a join; the rule is the same.
+SHORT = 16
+#: Classes of a list that one task of the last join meets with the strays.
 SALTED = 256
 #: Texts are worked on in blocks of so many characters.
 BLOCK_CHARS = 500_000
@@ -199,21 +194,18 @@ def _main(posts: DataFrame) -> DataFrame:
     return sizes.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
 
 
-def _prefixes(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node, label, token, freq: the shingles under which the classes of ``posts`` meet those of other components.
+def _within_reach(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``posts`` with ``shared``, the shingles of a class that one of another component has too.
 
-    A pair to be compared has only shingles in common that both components
-    have.  A class with fewer of those than a similar set needs leaves (copies
-    changed too far to be linked, as a rule); of the others' all but the last
-    needed ones, rarest first, are posted.
+    A pair to be compared has no more in common than either's ``shared``:
+    classes that differ too much from all other components (copies changed too
+    far to be linked, as a rule) leave, and the rest have a bound for each pair.
     """
-    nodes = posts.select("node", "label", "n").distinct()
-    shingles = sets.join(nodes, "node").select("node", "label", "n", F.explode("set").alias("s"))
-    common = shingles.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("freq")).filter("x <> y").select("s", "freq")
-    per = shingles.join(common, "s").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "s"))).alias("list"))
-    needed = F.ceil(F.lit(percent) * F.col("n") / F.lit(100)).cast("int")
-    near = per.filter(F.size("list") >= needed).select("node", "label", F.explode(F.slice("list", F.lit(1), F.size("list") - needed + 1)).alias("x"))
-    return near.select("node", "label", F.col("x.s").alias("token"), F.col("x.freq").alias("freq"))
+    nodes = posts.select("node", "label").distinct()
+    shingles = sets.join(nodes, "node").select("node", "label", F.explode("set").alias("s"))
+    common = shingles.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("s")
+    shared = shingles.join(common, "s").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    return written(posts.drop("shared").join(shared, "node").filter(f"100 * shared >= {percent} * n"), "postings")
 
 
 class _Linker:
@@ -239,6 +231,29 @@ class _Linker:
         self.links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
         return labels
 
+    def meet_strays(self, posts: DataFrame) -> None:
+        """Adds the links between classes outside a list's main component and all that are not of their own.
+
+        The join counts collisions and compares full sets itself and yields
+        links alone; a pair is compared in the first of the lists that it has
+        in common.  Long lists are split by a salt.
+        """
+        lists = posts.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+        parts = posts.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALTED)).cast("int").alias("parts")).join(_main(posts), "token")
+        kept = ("node", "label", "n", "shared", "tokens", "sig", "set")
+        full = posts.join(lists, "node").join(self.classes.select("node", "sig"), "node").join(self.sets, "node").select("token", *kept)
+        of = lambda rows, side: rows.select("token", "salt", *[F.col(c).alias(f"{c}_{side}") for c in kept], *(["main"] if side == "a" else []))
+        named = full.join(parts, "token")
+        stray = of(named.filter("label <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "a")
+        rest = stray.join(of(named.withColumn("salt", F.pmod(F.xxhash64("node"), "parts").cast("int")), "b"), ["token", "salt"])
+        once = (F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
+        near = _similar(self.percent, F.col("n_a"), F.col("n_b"), F.least("shared_a", "shared_b"))
+        meets = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) >= T
+        first = F.array_min(F.array_intersect("tokens_a", "tokens_b")) == F.col("token")
+        same = _similar(self.percent, F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("set_a", "set_b")))
+        links = rest.filter((F.col("label_a") != F.col("label_b")) & once & near & meets & first & same)
+        self.links = self.links.union(written(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "links"))
+
     def label(self, posts: DataFrame) -> DataFrame:
         """``posts`` with the component of each node, of lists with more than one."""
         named = posts.drop("label").join(self.contract(), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -246,19 +261,6 @@ class _Linker:
         return written(named.join(open_, "token", "left_semi"), "postings")
 
 
-def _across(prefixes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different components with a posted shingle in common.
-
-    Classes outside a list's largest component meet the others, so that
-    component makes no pairs of its own; long lists are split.
-    """
-    parts = F.ceil(F.col("freq") / F.lit(SALTED)).cast("int")
-    named = prefixes.join(_main(prefixes), "token")
-    stray = named.filter("label <> main").select("token", F.col("node").alias("a"), F.col("label").alias("la"), "main", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
-    every = prefixes.select("token", F.col("node").alias("b"), F.col("label").alias("lb"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("salt"))
-    return stray.join(every, ["token", "salt"]).filter("la <> lb and (lb = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Similarity | None = None) -> DataFrame:
     """One row per document: id, n (set size), node (class) and component_id (the least id of its component)."""
     like = similarity or Similarity()
@@ -283,9 +285,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
 
     linker.compare(meet(posts))
     posts = linker.label(posts)
+    short = posts.join(posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= SHORT), "token", "left_semi")
+    linker.compare(short.select("token", node("a"), F.col("label").alias("la")).join(short.select("token", node("b"), F.col("label").alias("lb")), "token").filter("a < b and la <> lb").select("a", "b").distinct())
+    posts = _within_reach(linker.label(posts), sets, like.percent)
     linker.compare(meet(posts.join(_main(posts), "token").filter("label <> main")))
-    posts = linker.label(posts)
-    linker.compare(_across(written(_prefixes(posts, sets, like.percent), "prefixes")))
+    posts = _within_reach(linker.label(posts), sets, like.percent)
+    linker.meet_strays(posts)
 
     labels = linker.contract()
     per = classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
