@@ -44,7 +44,7 @@ class Run:
     def table(self, name: str, build: Callable[[], DataFrame], *sections: str) -> DataFrame:
         force = self.force and name not in self.made
         self.made.add(name)
-        return sinks.materialize(self.spark, self.out, name, self.cfg.key("seed", "data", *sections), build, force)
+        return sinks.materialize(self.spark, self.out, name, self.cfg.key("seed", "data", *sections, data=self.data) if sections != ("all",) else self.cfg.key(data=self.data), build, force)
 
     @cached_property
     def csv(self) -> bool:
@@ -145,14 +145,16 @@ class Run:
         """Metrics, lift over popularity with its interval, the top list and the leaderboard row."""
         k, boot = self.cfg.get("eval.k"), self.cfg.get("eval.bootstrap")
         group = self.cfg.get("data.candidates.num_negatives") + 1
-        users = self.table(f"per-user-{run_id}", lambda: E.per_user(scored, k, group), "eval", "ltr", "als", "features")
-        base = self.table("per-user-popularity", lambda: E.per_user(E.align_scores(self.candidates, E.popularity_scores(self.train, self.candidates, self.cfg.get("baseline.popularity.positive_only"), self.threshold)), k, group), "eval")
+        users = self.table(f"per-user-{run_id}", lambda: E.per_user(scored, k, group), "all")
+        base = self.table("per-user-popularity", lambda: E.per_user(E.align_scores(self.candidates, E.popularity_scores(self.train, self.candidates, self.cfg.get("baseline.popularity.positive_only"), self.threshold)), k, group), "eval", "baseline")
         pairs = E.require_paired(E.paired(users, base))
         found = E.metrics(users, k).first().asDict() | E.lift(pairs).first().asDict()
         found |= E.bootstrap(pairs.withColumn("diff", F.col("ndcg_model") - F.col("ndcg_base")), "diff", boot["n_boot"], boot["seed"]).first().asDict()
         seconds = time.time() - began
         found |= {"run_id": run_id, "model": model, "seconds": seconds}
-        sinks.write_top(E.top_k(scored, self.cfg.get("serving.top_k"), tuple(self.cfg.get("serving.columns"))), f"{self.out}/top-{run_id}")
+        top, columns = self.cfg.get("serving.top_k"), self.cfg.get("serving.columns")
+        meta = {"run_id": run_id, "model": model, "top_k": top, "columns": columns, "users": found["n_users"], "seed": self.seed, "config": self.cfg.key(data=self.data)}
+        sinks.write_top(E.top_k(scored, top, tuple(columns)), f"{self.out}/top-{run_id}", f"{self.out.removeprefix('file://')}/top-{run_id}.json", meta)
         sinks.upsert_leaderboard(
             self.spark,
             f"{self.out}/leaderboard",
@@ -203,11 +205,14 @@ def stage_spark_features(run: Run) -> dict:
 
 
 def stage_stream(run: Run) -> dict:
-    s, root = run.cfg.get("stream"), f"{run.out}/stream-{run.cfg.key('seed', 'data', 'stream')}"
-    sinks.write_replay(run.history.withColumn("rating", F.col("rating").cast("float")), f"{root}/events", s["files"])
-    entries: list[dict] = []
-    replay.run_stream(run.spark, f"{root}/events", f"{root}/out", f"{root}/checkpoint", run.movies, s["files_per_trigger"], s["half_life_days"], s["sample_fraction"], run.seed, run.threshold, tuple(s["snapshot_batches"]), on_progress=entries.append)
-    return {"batches": entries}
+    s, root = run.cfg.get("stream"), f"{run.out}/stream-{run.cfg.key('seed', 'data', 'stream', data=run.data)}"
+    if run.force:  # events, output and checkpoint go together
+        sinks.remove(run.spark, root)
+    sinks.replay_once(run.history.withColumn("rating", F.col("rating").cast("float")), f"{root}/events", s["files"])
+    paths = replay.run_stream(run.spark, f"{root}/events", f"{root}/out", f"{root}/checkpoint", run.movies, s["files_per_trigger"], s["half_life_days"], s["sample_fraction"], run.seed, run.threshold, tuple(s["snapshot_batches"]))
+    replay.final_profile(run.spark, paths["profile"]).write.mode("overwrite").parquet(f"{root}/final_profile")
+    progress = run.spark.read.parquet(paths["progress"]).orderBy("batch_id")
+    return {"batches": [r.asDict() for r in progress.collect()], "settings": s, "final_profile": f"{root}/final_profile"}
 
 
 def stage_lsh(run: Run) -> dict:
@@ -240,24 +245,34 @@ def _ranker(run: Run) -> L.Ranker:
     return L.train_ranker(rows, columns, t["num_boost_round"], p["learning_rate"], p["max_depth"], p["min_data_in_leaf"], p["lambdarank_truncation_level"], run.seed, early_stopping=t["early_stopping"], validation=check)
 
 
+def _saved_ranker(run: Run) -> L.Ranker:
+    """The trained ranker of this configuration; trained and saved where it is not yet."""
+    path = f"{run.out}/ranker-{run.cfg.key(data=run.data)}"
+    if (run.force and path not in run.made) or not sinks._exists(run.spark, f"{path}/rest/_SUCCESS"):
+        run.made.add(path)
+        _ranker(run).save(path)
+    return L.Ranker.load(path)
+
+
 def stage_ltr(run: Run) -> dict:
     began, t = time.time(), run.cfg.get("ltr")
-    model = _ranker(run)
+    model = _saved_ranker(run)
     model.importance(run.spark).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{run.out}/importance-{t['run_id']}")
     return run.report(t["run_id"], t["model_name"], model.predict(run.features(run.candidates, False)[0]), began)
 
 
 def stage_seed(run: Run) -> dict:
-    """The trained ranker over candidates of other seeds."""
-    model, rows, k = _ranker(run), [], run.cfg.get("eval.k")
-    for seed in [run.cfg.get("robustness.official_seed"), *run.cfg.get("robustness.seeds")]:
+    """The saved ranker over candidates of other seeds."""
+    model, rows, k = _saved_ranker(run), [], run.cfg.get("eval.k")
+    for seed in [run.seed, *run.cfg.get("robustness.seeds")]:
         candidates = run.candidates_of(seed)
         base = E.per_user(E.align_scores(candidates, E.popularity_scores(run.train, candidates)), k)
         users = E.per_user(model.predict(run.features(candidates, False)[0]), k)
         found = E.lift(E.paired(users, base)).first()
         rows.append((seed, found["mean_model"], found["lift"]))
     runs = run.spark.createDataFrame(rows, "seed long, ndcg double, lift double")
-    return {"runs": rows} | E.seed_variance(runs).first().asDict()
+    found = E.seed_variance(runs).first().asDict()
+    return {"runs": rows, "robust": found["min_lift"] >= 1.1} | found
 
 
 def stage_scalability(run: Run) -> dict:
@@ -288,7 +303,7 @@ def main(args: list[str] | None = None) -> dict[str, dict]:
     names = [s.strip() for s in given.stages.split(",") if s.strip()]
     unknown = [s for s in names if s not in STAGES]
     if not names or unknown:
-        raise SystemExit(f"unknown stages: {unknown}, available: {sorted(STAGES)}" if names else "no stages requested")
+        raise SystemExit(f"{', '.join(unknown)}: not among the stages {', '.join(sorted(STAGES))}" if names else "name at least one stage")
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
     cfg = Config.load(given.config) if given.config else Config()
     run = Run(get_session("siltstone", given.master), cfg, given.data, given.out, given.force)

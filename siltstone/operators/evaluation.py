@@ -24,6 +24,14 @@ def align_scores(candidates: DataFrame, scores: DataFrame, default: float = 0.0)
     return candidates.join(scores.select("cand_id", "score"), "cand_id", "left").withColumn("score", F.coalesce("score", F.lit(default)))
 
 
+def require_aligned(candidates: DataFrame, scored: DataFrame) -> DataFrame:
+    """``scored`` if it has as many rows as the candidates; repeated scores of one cand_id would swell it."""
+    want, have = candidates.count(), scored.count()
+    if want != have:
+        raise ValueError(f"{have} scored rows for {want} candidates")
+    return scored
+
+
 def ranked(scored: DataFrame) -> DataFrame:
     """``rank`` within the user by score (null and NaN last), then movieId."""
     score = F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double"))
@@ -72,22 +80,37 @@ def require_paired(pairs: DataFrame) -> DataFrame:
 def bootstrap(diffs: DataFrame, column: str = "diff", n_boot: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """One row: n, mean, se, ci_low, ci_high and p_value of the mean of ``column``.
 
-    Users are weighted by independent Poisson(1) counts, drawn in the task that
-    holds them, and each replicate's sums are added up: the shuffle is one row
-    of ``n_boot`` partial sums for each task, whatever the number of users.
+    Users are weighted by independent Poisson(1) counts.  A count comes from a
+    64-bit hash of user, replicate and seed by the distribution's steps, so it
+    is the same for any partitioning; a block of users and all replicates are
+    drawn at once, as a matrix, in the task that holds them.  The shuffle is one
+    row of ``n_boot`` partial sums for each task, whatever the number of users.
     """
     import numpy as np
 
+    from math import exp, factorial
+
+    steps = np.array([int(sum(exp(-1) / factorial(i) for i in range(k + 1)) * 2.0**53) for k in range(18)], np.uint64)
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        for _ in range(2):
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, weight = np.zeros(n_boot), np.zeros(n_boot)
-        for frame in frames:
-            for key, value in zip(frame["key"].to_numpy(), frame["value"].to_numpy(), strict=True):
-                w = np.random.default_rng([seed & 0xFFFFFFFF, int(key) & 0x7FFFFFFFFFFFFFFF]).poisson(1.0, n_boot)
-                total += w * value
-                weight += w
+        with np.errstate(over="ignore"):
+            replicate = mixed(np.arange(n_boot, dtype=np.uint64) + np.uint64(seed & 0xFFFFFFFF) * np.uint64(1 << 31))
+            for frame in frames:
+                keys, values = frame["key"].to_numpy().astype(np.int64).view(np.uint64), frame["value"].to_numpy()
+                size = max(1, 2_000_000 // n_boot)
+                for at in range(0, len(keys), size):
+                    counts = np.searchsorted(steps, mixed(keys[at : at + size, None] ^ replicate) >> np.uint64(11), "right")
+                    total += values[at : at + size] @ counts
+                    weight += counts.sum(0)
         yield pd.DataFrame({"replicate": np.arange(n_boot), "total": total, "weight": weight})
 
-    rows = diffs.select(F.xxhash64("userId").alias("key"), F.col(column).cast("double").alias("value"))
+    rows = diffs.select(F.xxhash64("userId").alias("key"), F.col(column).cast("double").alias("value")).filter("value is not null")
     drawn = rows.mapInPandas(partial, "replicate int, total double, weight double").groupBy("replicate").agg(F.sum("total").alias("t"), F.sum("weight").alias("w"))
     means = drawn.select(F.try_divide("t", "w").alias("m"))
     found = means.agg(

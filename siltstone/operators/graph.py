@@ -9,6 +9,10 @@ from ..functions import log1p_positive
 from ..shared import cut, written
 
 
+#: Rounds without a gain that end a level of ``louvain``.
+PATIENCE = 3
+
+
 def degrees(liked: DataFrame) -> DataFrame:
     """kind (user or item), id and degree."""
     of = lambda key, kind: liked.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("degree")).select(F.lit(kind).alias("kind"), "id", "degree")
@@ -70,14 +74,16 @@ def modularity(weights: DataFrame, labels: DataFrame, resolution: float = 1.0) -
     return row["i"] / row["m"] - resolution * row["q"] / row["m"] ** 2 if row["m"] else 0.0
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, min_gain: float = 1e-6) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, min_gain: float = 1e-4) -> DataFrame:
     """movieId and label by modularity: items move at once to the community of the best gain, then communities are contracted.
 
-    In each sweep only items whose keyed hash has the sweep's parity move, which
-    keeps neighbours from swapping for ever.  Sweeps of a level go on while a
-    pair of them (one of each parity) raises modularity by ``min_gain``, and
-    levels while they contract the graph and raise it, so nothing but
-    convergence ends the search; a pair of sweeps that lowers it is taken back.
+    In each sweep only items whose hash has the sweep's parity move, which keeps
+    neighbours from swapping for ever; hashes differ from round to round, so two
+    that would swap in one round are apart in another.  Rounds (a sweep of each
+    parity) of a level go on until ``PATIENCE`` of them in a row raise
+    modularity by less than ``min_gain``, and levels while they contract the
+    graph and raise it, so nothing but convergence ends the search; a round that
+    lowers it is taken back.
     """
     weights = written(edges.select("src", "dst", "sim").union(edges.select("dst", "src", "sim")).groupBy("src", "dst").agg(F.sum("sim").alias("w")).filter("src <> dst"), "louvain-graph")
     member = written(weights.select(F.col("src").alias("movieId")).distinct().withColumn("label", F.col("movieId")), "louvain-members")
@@ -86,9 +92,9 @@ def louvain(edges: DataFrame, resolution: float = 1.0, min_gain: float = 1e-6) -
     best = modularity(graph, member, resolution)
     while True:
         strength = written(graph.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k")), "louvain-strength")
-        labels, begun = strength.select("v", "k", F.col("v").alias("c")), best
-        while True:
-            moved = labels
+        labels, begun, stale, turn = strength.select("v", "k", F.col("v").alias("c")), best, 0, 0
+        while stale < PATIENCE:
+            moved, turn = labels, turn + 1
             for parity in (0, 1):
                 total = moved.groupBy("c").agg(F.sum("k").alias("t"))
                 link = graph.filter("src <> dst").join(moved.select(F.col("v").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("v"), "c").agg(F.sum("w").alias("l"))
@@ -97,15 +103,12 @@ def louvain(edges: DataFrame, resolution: float = 1.0, min_gain: float = 1e-6) -
                 inside = F.when(F.col("c") == F.col("now"), F.col("t") - F.col("k")).otherwise(F.col("t"))
                 gain = F.round(F.col("l") - F.lit(resolution) * F.col("k") * inside / F.lit(m2), 9)
                 top = options.groupBy("v").agg(F.max_by("c", F.struct(gain.alias("g"), (-F.col("c")).alias("low"))).alias("b"), F.max(gain).alias("g"))
-                moves = (F.pmod(F.xxhash64("v"), F.lit(2)) == parity) & (F.col("g") > 0)
+                moves = (F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(2)) == parity) & (F.col("g") > 0)
                 moved = written(moved.join(top, "v", "left").select("v", "k", F.when(moves, F.col("b")).otherwise(F.col("c")).alias("c")), "louvain-labels")
             now = modularity(graph, moved.select("v", "c"), resolution)
+            stale = 0 if now >= best + min_gain else stale + 1
             if now > best:
-                labels = moved
-            if now < best + min_gain:
-                best = max(best, now)
-                break
-            best = now
+                labels, best = moved, now
         if best < begun + min_gain:
             return member
         member = written(member.join(labels.select(F.col("v").alias("label"), F.col("c").alias("next")), "label").select("movieId", F.col("next").alias("label")), "louvain-members")

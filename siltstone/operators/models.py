@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dot
-from ..shared import cut
+from ..functions import dot, keyed_hash
+from ..functions.indexing import dense_index
+from ..shared import cut, written
 
 
-def train_als(train: DataFrame, rank: int = 64, max_iter: int = 10, reg: float = 0.1, nonnegative: bool = True, implicit: bool = False, seed: int = 0) -> ALSModel:
+@dataclass
+class Factors:
+    """ALS factors (id, features) by the ids of the data."""
+
+    rank: int
+    userFactors: DataFrame
+    itemFactors: DataFrame
+
+
+def train_als(train: DataFrame, rank: int = 64, max_iter: int = 10, reg: float = 0.1, nonnegative: bool = True, implicit: bool = False, seed: int = 0) -> Factors:
+    """ALS over (userId, movieId, rating).  It takes 32-bit ids; tables with wider ones are numbered first and their factors named back."""
     als = ALS(
         rank=rank, maxIter=max_iter, regParam=reg, nonnegative=nonnegative, implicitPrefs=implicit, coldStartStrategy="drop", seed=seed, userCol="userId", itemCol="movieId", ratingCol="rating"
     )
-    return als.fit(train.select(F.col("userId").cast("int"), F.col("movieId").cast("int"), F.col("rating").cast("float")))
+    rows = train.select("userId", "movieId", F.col("rating").cast("float").alias("rating"))
+    widest = rows.agg(*[F.max(F.abs(c)).alias(c) for c in ("userId", "movieId")]).first()
+    names: dict[str, DataFrame] = {}
+    for key in ("userId", "movieId"):
+        if (widest[key] or 0) >= 2**31:
+            names[key] = written(dense_index(rows.select(key).distinct(), keyed_hash(seed, "als", key), "_number"), "als-numbers")
+            rows = rows.join(names[key], key).withColumn(key, F.col("_number")).drop("_number")
+    model: ALSModel = als.fit(rows.select(F.col("userId").cast("int"), F.col("movieId").cast("int"), "rating"))
+
+    def named(factors: DataFrame, key: str) -> DataFrame:
+        if key not in names:
+            return factors
+        return factors.join(names[key], F.col("id") == F.col("_number")).select(F.col(key).alias("id"), "features")
+
+    return Factors(model.rank, named(model.userFactors, "userId"), named(model.itemFactors, "movieId"))
 
 
 def score_pairs(user_factors: DataFrame, item_factors: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -66,13 +92,33 @@ class Ranker:
             made = _step(made, tree, values, self.rate)
         return made.drop("features")
 
+    def save(self, path: str) -> None:
+        """Trees as models under ``path``, and all else as JSON beside them."""
+        spark = SparkSession.active()
+        for k, tree in enumerate(self.trees):
+            tree.write().overwrite().save(f"{path}/tree-{k}")
+        rest = json.dumps({"columns": self.columns, "rate": self.rate, "leaves": [sorted(v.items()) for v in self.leaves], "history": self.history})
+        spark.createDataFrame([(rest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/rest")
+
+    @classmethod
+    def load(cls, path: str) -> Ranker:
+        rest = json.loads(SparkSession.active().read.text(f"{path}/rest", wholetext=True).first()[0])
+        leaves = [dict(map(tuple, pairs)) for pairs in rest["leaves"]]
+        trees = [DecisionTreeRegressionModel.load(f"{path}/tree-{k}") for k in range(len(leaves))]
+        return cls(rest["columns"], rest["rate"], trees, leaves, rest["history"])
+
     def importance(self, spark) -> DataFrame:  # noqa: ANN001
-        """feature, gain and splits over all trees, the highest gain first."""
+        """feature, gain (the splits' gains, weighted by their rows) and splits over all trees, the highest gain first."""
         gain, splits = dict.fromkeys(self.columns, 0.0), dict.fromkeys(self.columns, 0)
         for tree in self.trees:
-            for i, v in enumerate(tree.featureImportances.toArray().tolist()):
-                gain[self.columns[i // 2]] += v
-                splits[self.columns[i // 2]] += v > 0
+            nodes = [tree._call_java("rootNode")]
+            while nodes:  # a tree has at most 2 ** depth of them
+                node = nodes.pop()
+                if node.subtreeDepth() > 0:
+                    name = self.columns[node.split().featureIndex() // 2]
+                    gain[name] += node.gain() * node.impurityStats().count()
+                    splits[name] += 1
+                    nodes += [node.leftChild(), node.rightChild()]
         return spark.createDataFrame([(c, gain[c], splits[c]) for c in self.columns], "feature string, gain double, splits long").orderBy(F.desc("gain"), "feature")
 
 

@@ -9,7 +9,6 @@ USER, MOVIE, RATING, TIME = "userId", "movieId", "rating", "timestamp"
 RATINGS = T.StructType([T.StructField(USER, T.LongType()), T.StructField(MOVIE, T.LongType()), T.StructField(RATING, T.FloatType()), T.StructField(TIME, T.LongType())])
 MOVIES = T.StructType([T.StructField(MOVIE, T.LongType()), T.StructField("title", T.StringType()), T.StructField("genres", T.StringType())])
 TAGS = T.StructType([T.StructField(USER, T.LongType()), T.StructField(MOVIE, T.LongType()), T.StructField("tag", T.StringType()), T.StructField(TIME, T.LongType())])
-LINKS = T.StructType([T.StructField(MOVIE, T.LongType()), T.StructField("imdbId", T.LongType()), T.StructField("tmdbId", T.LongType())])
 
 #: Fixed values.
 NO_GENRES = "(no genres listed)"

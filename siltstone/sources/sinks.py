@@ -18,6 +18,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _rename(spark: SparkSession, path: str, to: str) -> None:
+    source = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, spark._jvm.org.apache.hadoop.fs.Path(to))
+
+
 def materialize(spark: SparkSession, root: str, name: str, key: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The table ``name`` under ``root``, built once for each configuration key."""
     path = f"{root}/{name}-{key}"
@@ -32,20 +42,29 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "run_id") -> DataFrame:
 
 
 def upsert_leaderboard(spark: SparkSession, path: str, run: dict[str, Any]) -> DataFrame:
-    """Adds or replaces a run; the new version is written beside the old one before it takes its name."""
+    """Adds or replaces a run.
+
+    The new version is written beside the old one, which is renamed and stays
+    until the new one has its name: whatever step fails, one of them is whole,
+    and the next call begins with it.
+    """
     if set(run) != set(LEADERBOARD):
         raise ValueError(f"a run has the columns {LEADERBOARD}")
+    fresh, aside = f"{path}.new", f"{path}.old"
+    if not _exists(spark, path) and _exists(spark, aside):
+        _rename(spark, aside, path)
     new = spark.createDataFrame([tuple(str(run[c]) for c in LEADERBOARD)], ", ".join(f"{c} string" for c in LEADERBOARD))
     if _exists(spark, path):
         old = spark.read.option("header", True).csv(path)
         if old.columns != LEADERBOARD:
             raise ValueError(f"{path} has the columns {old.columns}")
         new = upsert(old, new)
-    fresh, target = f"{path}.new", spark._jvm.org.apache.hadoop.fs.Path(path)
     new.coalesce(1).write.mode("overwrite").option("header", True).csv(fresh)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(target, True)
-    files.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), target)
+    remove(spark, aside)
+    if _exists(spark, path):
+        _rename(spark, path, aside)
+    _rename(spark, fresh, path)
+    remove(spark, aside)
     return spark.read.option("header", True).csv(path)
 
 
@@ -75,8 +94,18 @@ def write_replay(history: DataFrame, path: str, n_files: int = 24) -> None:
 
     spark, order = history.sparkSession, ["timestamp", "userId", "movieId"]
     staged = f"{path}-staged"
+    remove(spark, path)
     replay_shards(history, n_files).repartition(n_files, "shard").write.mode("overwrite").partitionBy("shard").parquet(staged)
     shards = spark.read.schema(f"{history.schema.toDDL()}, shard int").parquet(staged)
     for shard in range(n_files):
         one = shards.filter(F.col("shard") == shard).drop("shard").coalesce(1).sortWithinPartitions(*order)
-        one.write.mode("overwrite" if not shard else "append").parquet(path)
+        one.write.mode("append").parquet(path)
+    remove(spark, staged)
+
+
+def replay_once(history: DataFrame, path: str, n_files: int = 24) -> None:
+    """``write_replay``, unless all of its files are there: files written again would be new events to a stream."""
+    spark = history.sparkSession
+    if not _exists(spark, f"{path}-done/_SUCCESS"):
+        write_replay(history, path, n_files)
+        spark.range(1).write.mode("overwrite").parquet(f"{path}-done")

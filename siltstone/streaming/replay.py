@@ -74,6 +74,14 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 2) -> D
     return spark.readStream.schema(RATINGS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def batches(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches written under ``path``, rising."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id="))
+
+
 def run_stream(
     spark: SparkSession,
     events_dir: str,
@@ -91,11 +99,14 @@ def run_stream(
 ) -> dict[str, str]:
     """Replays ``events_dir`` to its end.  Every batch writes its own ``batch_id`` folder, so a batch that is run again replaces itself.
 
+    A batch without rows leaves no folder; the next one goes on from the last
+    that has one.  ``demo_users`` are fixed by the first batch with rows.
+
     Tables under ``out_dir``: user_daily and movie_daily, sample, profile (the
     state after each batch), snapshots, progress.
     """
     genres = movie_genres(movies)
-    paths = {name: f"{out_dir}/{name}" for name in ("user_daily", "movie_daily", "sample", "profile", "snapshots", "progress")}
+    paths = {name: f"{out_dir}/{name}" for name in ("user_daily", "movie_daily", "sample", "profile", "snapshots", "progress", "demo_users")}
 
     def put(df: DataFrame, name: str, batch: int) -> str:
         target = f"{paths[name]}/batch_id={batch}"
@@ -104,29 +115,36 @@ def run_stream(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        seen = batch.agg(F.count(F.lit(1)), F.max(epoch_day("timestamp"))).first()
+        day = epoch_day("timestamp")
+        seen = batch.agg(F.count(F.lit(1)), F.min(day), F.max(day)).first()
         if not seen[0]:
             batch.unpersist()
             return
         put(daily_counts(batch, "userId"), "user_daily", batch_id)
         put(daily_counts(batch, "movieId"), "movie_daily", batch_id)
-        put(bernoulli(batch, sample_fraction, seed + batch_id, "userId", "movieId", "timestamp"), "sample", batch_id)
+        sampled = spark.read.parquet(put(bernoulli(batch, sample_fraction, seed + batch_id, "userId", "movieId", "timestamp"), "sample", batch_id)).count()
         old, gap = None, 0
-        if batch_id:
-            old = spark.read.parquet(f"{paths['profile']}/batch_id={batch_id - 1}")
-            gap = max(seen[1] - spark.read.parquet(f"{paths['progress']}/batch_id={batch_id - 1}").first()["end_day"], 0)
-        state = put(merge_profile(old, contributions(batch, genres, seen[1], half_life, threshold), gap, half_life), "profile", batch_id)
+        before = [b for b in batches(spark, paths["progress"]) if b < batch_id]
+        if before:
+            old = spark.read.parquet(f"{paths['profile']}/batch_id={before[-1]}")
+            gap = max(seen[2] - spark.read.parquet(f"{paths['progress']}/batch_id={before[-1]}").first()["end_day"], 0)
+        else:
+            put(top_active_users(batch, demo_users).select("userId"), "demo_users", batch_id)
+        new = contributions(batch, genres, seen[2], half_life, threshold)
+        state = put(merge_profile(old, new, gap, half_life), "profile", batch_id)
+        merged = (new if old is None else old.select("userId", "genre").union(new.select("userId", "genre"))).select("userId", "genre").distinct().count()
         profile = spark.read.parquet(state)
         made = profile.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
         best = profile.groupBy("genre").agg(F.sum("weight").alias("w")).orderBy(F.desc("w"), "genre").first()
         entry = {
-            "batch_id": batch_id, "events": seen[0], "end_day": seen[1], "gap_days": gap, "factor": 0.5 ** (gap / half_life),
-            "pairs": made["n"], "total_weight": float(made["w"] or 0.0), "top_genre": best["genre"] if best else None,
+            "batch_id": batch_id, "events": seen[0], "sampled": sampled, "start_day": seen[1], "end_day": seen[2], "gap_days": gap, "factor": 0.5 ** (gap / half_life),
+            "pairs": made["n"], "pruned": merged - made["n"], "total_weight": float(made["w"] or 0.0), "top_genre": best["genre"] if best else None,
         }
-        kinds = "batch_id int, events long, end_day long, gap_days long, factor double, pairs long, total_weight double, top_genre string"
+        kinds = "batch_id int, events long, sampled long, start_day long, end_day long, gap_days long, factor double, pairs long, pruned long, total_weight double, top_genre string"
         put(spark.createDataFrame([tuple(entry.values())], kinds).drop("batch_id"), "progress", batch_id)
         if batch_id in snapshot_batches:
-            put(top_genres(profile, 5, top_active_users(batch, demo_users).select("userId")), "snapshots", batch_id)
+            first = batches(spark, paths["demo_users"])[0]
+            put(top_genres(profile, 5, spark.read.parquet(f"{paths['demo_users']}/batch_id={first}")), "snapshots", batch_id)
         if on_progress:
             on_progress(entry)
         batch.unpersist()
@@ -138,6 +156,4 @@ def run_stream(
 
 def final_profile(spark: SparkSession, path: str) -> DataFrame:
     """The state after the last batch."""
-    parts = spark.read.parquet(path)
-    last = parts.agg(F.max("batch_id")).first()[0]
-    return parts.filter(F.col("batch_id") == last).drop("batch_id")
+    return spark.read.parquet(f"{path}/batch_id={batches(spark, path)[-1]}")

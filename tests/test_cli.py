@@ -7,6 +7,7 @@ import pytest
 
 from siltstone import cli
 from siltstone.config import Config
+from siltstone.sources import readers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -32,3 +33,32 @@ def test_stages_run(spark, tmp_path):
     board = spark.read.option("header", True).csv(f"file://{tmp_path}/out/leaderboard")
     assert {r["run_id"] for r in board.collect()} == {"popularity", "als", "ltr"}
     assert made["candidates"]["rows"] == 101 * made["baseline"]["n_users"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_a_second_run_adds_nothing_and_a_changed_setting_is_made_again(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    conf = lambda name, **v: (tmp_path / name).write_text(json.dumps({"stream": {"files": 4}, "eval": {"k": 10, "bootstrap": {"n_boot": 20, "seed": 1}}} | v)) and str(tmp_path / name)
+    plain, liked = conf("a.json"), conf("b.json", baseline={"popularity": {"positive_only": True}})
+    run = lambda config, stages, *more: cli.main(["--config", config, "--stages", stages, "--data", DATA, "--out", out, *more])
+    first = run(plain, "stream,baseline")
+    root = first["stream"]["final_profile"].rpartition("/")[0]
+    state = lambda: (spark.read.parquet(f"{root}/out/user_daily").agg({"count": "sum"}).first()[0], round(spark.read.parquet(f"{root}/final_profile").agg({"weight": "sum"}).first()[0], 6))
+    before = state()
+    assert first["stream"]["batches"] == run(plain, "stream")["stream"]["batches"] and state() == before
+    run(plain, "stream", "--force")
+    assert state() == before
+    assert run(liked, "baseline")["baseline"]["ndcg"] != first["baseline"]["ndcg"]
+    assert json.loads((tmp_path / "out/top-popularity.json").read_text())["top_k"] == 10
+
+
+def test_csv_tables_are_read(spark, tmp_path):
+    (tmp_path / "ratings.csv").write_text("userId,movieId,rating,timestamp\n1,10,4.5,100\n2,11,0.5,200\n")
+    (tmp_path / "movies.csv").write_text('movieId,title,genres\n10,"A ""quoted"", title (1999)",Drama|War\n11,Plain (2000),(no genres listed)\n')
+    (tmp_path / "tags.csv").write_text("userId,movieId,tag,timestamp\n1,10,,100\n2,11,good,200\n")
+    assert [tuple(r) for r in readers.read_ratings(spark, f"file://{tmp_path}/ratings.csv").orderBy("userId").collect()] == [(1, 10, 4.5, 100), (2, 11, 0.5, 200)]
+    assert readers.read_movies(spark, f"file://{tmp_path}/movies.csv").filter("movieId = 10").first()["title"] == 'A "quoted", title (1999)'
+    one = spark.createDataFrame([(1,)], "userId long")
+    assert [tuple(r) for r in readers.read_tags(spark, f"file://{tmp_path}/tags.csv", one).collect()] == [(1, 10, None, 100)]
+    made = cli.main(["--stages", "validate", "--data", f"file://{tmp_path}", "--out", f"file://{tmp_path}/out"])
+    assert made["validate"]["all_passed"] and made["validate"]["ratings"]["n_rows"] == 2

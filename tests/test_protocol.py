@@ -192,3 +192,63 @@ def test_als_scores_missing_factors_as_zero(spark):
     of = lambda rows: spark.createDataFrame(rows, "id int, features array<float>")
     pairs = spark.createDataFrame([(1, 1), (1, 9)], "userId long, movieId long")
     assert {r["movieId"]: r["score"] for r in L.score_pairs(of([(1, [1.0, 2.0])]), of([(1, [3.0, 4.0])]), pairs).collect()} == {1: 11.0, 9: 0.0}
+
+
+def test_an_empty_batch_is_passed_over(spark, tmp_path):
+    kinds = "userId long, movieId long, rating float, timestamp long"
+    films = spark.createDataFrame([(1, "a (1990)", "Drama")], "movieId long, title string, genres string")
+    for part in ([(1, 1, 5.0, 0)], [], [(1, 1, 5.0, 365 * 86400)]):
+        spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/events")
+    paths = replay.run_stream(spark, f"file://{tmp_path}/events", f"file://{tmp_path}/out", f"file://{tmp_path}/check", films, files_per_trigger=1)
+    assert [tuple(r) for r in replay.final_profile(spark, paths["profile"]).collect()] == [(1, "Drama", 1.5)]
+
+
+def test_als_of_wide_ids_equals_that_of_narrow_ones_in_shape(spark):
+    wide = 1 << 40
+    rows = spark.createDataFrame([(wide + u, wide + (u * 3 + i) % 8, float(1 + (u + i) % 5)) for u in range(10) for i in range(5)], "userId long, movieId long, rating double")
+    model = L.train_als(rows, rank=3, max_iter=3, seed=1)
+    scored = L.score_pairs(model.userFactors, model.itemFactors, rows).collect()
+    of = lambda df: {r["id"]: list(r["features"]) for r in df.collect()}
+    users, items = of(model.userFactors), of(model.itemFactors)
+    assert min(users) == wide and len(users) == 10 and len(items) == 8
+    for r in scored:
+        assert r["score"] == pytest.approx(sum(a * b for a, b in zip(users[r["userId"]], items[r["movieId"]], strict=True)))
+
+
+def test_a_saved_ranker_predicts_alike_and_counts_its_splits(spark, tmp_path):
+    rows = spark.createDataFrame([(u, m, 1 if m == u % 7 else 0, float(m == u % 7) + (u * m % 5) / 9, float(m)) for u in range(60) for m in range(7)], "userId long, movieId long, label int, x double, y double")
+    model = L.train_ranker(rows, ["x", "y"], rounds=2, depth=2, min_leaf=5)
+    model.save(f"file://{tmp_path}/ranker")
+    again = L.Ranker.load(f"file://{tmp_path}/ranker")
+    key = lambda m: sorted((r["userId"], r["movieId"], round(r["score"], 9)) for r in m.predict(rows).collect())
+    assert key(model) == key(again)
+    found = {r["feature"]: r for r in model.importance(spark).collect()}
+    assert found["x"]["gain"] > found["y"]["gain"] >= 0 and 2 <= found["x"]["splits"] + found["y"]["splits"] <= 6
+
+
+def test_bootstrap_is_the_same_for_any_partitioning(spark):
+    rows = spark.range(500).selectExpr("id as userId", "(id % 7) / 7.0 - 0.3 as diff")
+    a, b = (E.bootstrap(rows.repartition(n), "diff", 200, 3).first().asDict() for n in (1, 5))
+    assert {k: round(v, 9) for k, v in a.items()} == {k: round(v, 9) for k, v in b.items()}
+    spread = (a["ci_high"] - a["ci_low"]) / (2 * 1.96 * a["se"])
+    assert 0.8 < spread < 1.2 and a["ci_low"] < a["mean"] < a["ci_high"]
+
+
+def test_modularity_of_louvain_beats_label_propagation(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = [(a, b, rng.random() * (1.0 if a // 12 == b // 12 else 0.15)) for a in range(48) for b in range(48) if a < b and rng.random() < 0.6]
+    edges = spark.createDataFrame(pairs, "src long, dst long, sim double")
+    weights = edges.union(edges.select("dst", "src", "sim")).toDF("src", "dst", "w")
+    found = G.louvain(edges, 1.0)
+    value = lambda labels: G.modularity(weights, labels, 1.0)
+    assert value(found) >= value(G.label_propagation(edges)) and value(found) > 0.3
+    assert found.select("label").distinct().count() == 4
+
+
+def test_repeated_scores_are_an_error(spark):
+    rows = spark.createDataFrame([(0,), (1,)], "cand_id long")
+    scores = spark.createDataFrame([(0, 1.0), (0, 2.0)], "cand_id long, score double")
+    with pytest.raises(ValueError):
+        E.require_aligned(rows, E.align_scores(rows, scores))
