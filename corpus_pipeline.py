@@ -2,6 +2,12 @@
 
 Each stage reads what its predecessor kept, written as Parquet in the folder
 that the cluster shares.  All but the last keep the columns of documents.
+
+Defined results, at every stage: an empty table stays empty; null and empty
+texts fail the quality rules and go; texts of any length are worked on whole;
+repeated rows are one group of near copies, of which one row stays, and rows
+of one id with different texts are different documents; null ids are values;
+extra columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
