@@ -159,6 +159,7 @@ class _Unit:
     def rows(self, unit: int, parts: int, id_type: pa.DataType) -> pa.RecordBatch:
         """part, unit, kind, ids, data: words by part (kind 0), and the sequence (kind 1)."""
         codes, hashes = np.concatenate(self.codes), np.concatenate(self.hashes)
+        self.codes, self.hashes = [], []
         # Words are numbered by frequency: small numbers are the common ones.
         order = np.argsort(-np.bincount(codes, minlength=len(self.known)), kind="stable")
         rank = np.empty(len(order), np.uint32)
@@ -195,8 +196,10 @@ def _spread(parts: int, id_type: pa.DataType) -> Callable:
                     unit.add(ids.slice(a, i + 1 - a), [x or "" for x in texts[a : i + 1]])
                     a, chars = i + 1, 0
                     if unit.chars >= UNIT_CHARS:
-                        yield unit.rows(name, parts, id_type)
-                        name, unit = name + 1, _Unit()
+                        made = unit.rows(name, parts, id_type)
+                        name, unit = name + 1, _Unit()  # the old one goes before its rows are sent
+                        yield made
+                        del made
         if unit.ids:
             yield unit.rows(name, parts, id_type)
 
