@@ -26,6 +26,7 @@ from .operators import models as L
 from .operators import protocol as P
 from .operators import similarity as S
 from .session import get_session
+from .shared import drop_written, written
 from .sources import readers, sinks
 from .streaming import activity, replay
 
@@ -124,6 +125,16 @@ class Run:
 
         return self.table("user-factors", lambda: model().userFactors, "als"), self.table("item-factors", lambda: model().itemFactors, "als")
 
+    @property
+    def stream_root(self) -> str:
+        return f"{self.out}/stream-{self.cfg.key('seed', 'data', 'stream', data=self.data)}"
+
+    def daily(self, key: str) -> DataFrame:
+        """Counts of days: the stream's tables where that stage has run to its end, else those of the history, which are the same."""
+        table = f"{self.stream_root}/out/{'user' if key == 'userId' else 'movie'}_daily"
+        streamed = sinks._exists(self.spark, f"{self.stream_root}/final_profile/_SUCCESS")
+        return replay.merged_counts(self.spark.read.parquet(table) if streamed else replay.daily_counts(self.history, key), key)
+
     def features(self, pairs: DataFrame, leave_out: bool) -> tuple[DataFrame, list[str]]:
         """``pairs`` with the configured features, and their names in order."""
         f, have = self.cfg.get("features"), set(pairs.columns)
@@ -137,8 +148,7 @@ class Run:
         if f["itemcf_sim"]:
             rows = S.itemcf_features(rows, self.liked, self.similar, True, tuple(self.cfg.get("itemcf_sim.columns")))
         if f["stream"]:
-            daily = lambda key: replay.merged_counts(replay.daily_counts(self.history, key), key)
-            rows = activity.activity_features(rows, daily("userId"), daily("movieId"), f["stream_mode"])
+            rows = activity.activity_features(rows, self.daily("userId"), self.daily("movieId"), f["stream_mode"])
         return rows, [c for c in rows.columns if c not in have]
 
     def report(self, run_id: str, model: str, scored: DataFrame, began: float) -> dict[str, Any]:
@@ -181,8 +191,10 @@ def stage_stats(run: Run) -> dict:
 
 
 def stage_candidates(run: Run) -> dict:
-    P.require_groups(run.candidates, run.cfg.get("data.candidates.num_negatives") + 1)
-    return {"rows": run.candidates.count()}
+    c = run.cfg.get("data.candidates")
+    P.require_groups(run.candidates, c["num_negatives"] + 1)
+    found = run.candidates.agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("users")).first().asDict()
+    return found | {"group_size": c["num_negatives"] + 1, "seed": run.seed, "positive_pick": c["positive_pick"], "source": c["source"], "exclude": c["exclude"]}
 
 
 def stage_baseline(run: Run) -> dict:
@@ -205,11 +217,11 @@ def stage_spark_features(run: Run) -> dict:
 
 
 def stage_stream(run: Run) -> dict:
-    s, root = run.cfg.get("stream"), f"{run.out}/stream-{run.cfg.key('seed', 'data', 'stream', data=run.data)}"
+    s, root = run.cfg.get("stream"), run.stream_root
     if run.force:  # events, output and checkpoint go together
         sinks.remove(run.spark, root)
     sinks.replay_once(run.history.withColumn("rating", F.col("rating").cast("float")), f"{root}/events", s["files"])
-    paths = replay.run_stream(run.spark, f"{root}/events", f"{root}/out", f"{root}/checkpoint", run.movies, s["files_per_trigger"], s["half_life_days"], s["sample_fraction"], run.seed, run.threshold, tuple(s["snapshot_batches"]))
+    paths = replay.run_stream(run.spark, f"{root}/events", f"{root}/out", f"{root}/checkpoint", run.movies, s["files_per_trigger"], s["half_life_days"], s["sample_fraction"], run.seed, run.threshold, tuple(s["snapshot_batches"]), s["demo_users"], replay.top_active_users(run.history, s["demo_users"]))
     replay.final_profile(run.spark, paths["profile"]).write.mode("overwrite").parquet(f"{root}/final_profile")
     progress = run.spark.read.parquet(paths["progress"]).orderBy("batch_id")
     return {"batches": [r.asDict() for r in progress.collect()], "settings": s, "final_profile": f"{root}/final_profile"}
@@ -222,14 +234,28 @@ def stage_lsh(run: Run) -> dict:
     exact = run.table("recall-exact", lambda: S.neighbours(sims, r["top_k"]), "recall")
     known = exact.groupBy(F.col("src").alias("movieId")).count().filter("count >= 5").select("movieId")
     asked = readers.sample_users(known.withColumnRenamed("movieId", "userId"), r["query_sample"], run.seed).withColumnRenamed("userId", "movieId")
-    n_items, grid = liked.select("movieId").distinct().count(), []
+    asked = written(asked, "asked")
+    n_items, n_asked, grid = liked.select("movieId").distinct().count(), max(asked.count(), 1), []
+
+    def timed(make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, float]:
+        """A table written whole, and the seconds that took."""
+        began = time.time()
+        return written(make(), name), time.time() - began
+
+    brute, brute_s = timed(lambda: S.brute_force(liked, asked, r["top_k"]), "brute-force")
+    known_of = exact.join(asked.select(F.col("movieId").alias("src")), "src", "left_semi")
+    agreed = brute.join(known_of, ["src", "dst", "rank"], "left_semi").count() / max(known_of.count(), 1)
     for bits in r["lsh_bits"]:
         for band in r["band_sizes"]:
             if bits % band:
                 continue
-            found = S.lsh_candidates(S.band_keys(liked, bits, band, run.seed), asked)
-            grid.append({"n_bits": bits, "band_size": band} | S.recall(S.lsh_neighbours(found, sims, r["top_k"]), exact, asked, found, n_items, r["top_k"]).first().asDict())
-    return {"n_items": n_items, "configs": grid}
+            keys, built = timed(lambda bits=bits, band=band: S.band_keys(liked, bits, band, run.seed), "band-keys")
+            found, searched = timed(lambda keys=keys: S.lsh_candidates(keys, asked), "lsh-candidates")
+            best, ordered = timed(lambda found=found: S.lsh_neighbours(found, sims, r["top_k"]), "lsh-neighbours")
+            times = {"build_s": built, "query_ms": 1000 * (searched + ordered) / n_asked}
+            grid.append({"n_bits": bits, "band_size": band} | times | S.recall(best, exact, asked, found, n_items, r["top_k"]).first().asDict())
+            drop_written(keys, found, best)
+    return {"n_items": n_items, "brute_force_ms": 1000 * brute_s / n_asked, "brute_force_agreement": agreed, "configs": grid}
 
 
 def _ranker(run: Run) -> L.Ranker:
@@ -237,12 +263,13 @@ def _ranker(run: Run) -> L.Ranker:
     positives = run.train.filter(F.col("rating") >= run.threshold)
     build = lambda pos, seed, users, ratio: P.build_groups(run.splits, run.movies, pos, t["num_negatives"], seed, ratio, t["hard_negative_source"], t["hard_pool_size"], users, run.threshold)
     rows, columns = run.features(build(positives, run.seed, t["max_train_users"], t["hard_ratio"]), True)
+    rows = P.number_groups(rows, t["positive_row"])
     check = None
     if t["early_stopping"]:
         val = run.splits.filter(f"split = 'val' and rating >= {run.threshold}").drop("split")
         check = run.features(build(val, run.seed + 1, t["valid_users"], 0.0), False)[0]
     p = t["params"]
-    return L.train_ranker(rows, columns, t["num_boost_round"], p["learning_rate"], p["max_depth"], p["min_data_in_leaf"], p["lambdarank_truncation_level"], run.seed, early_stopping=t["early_stopping"], validation=check)
+    return L.train_ranker(rows, columns, t["num_boost_round"], p["learning_rate"], p["max_depth"], p["min_data_in_leaf"], p["lambdarank_truncation_level"], run.seed, early_stopping=t["early_stopping"], validation=check, row_share=p.get("bagging_fraction", 1.0), column_share=p.get("feature_fraction", 1.0))
 
 
 def _saved_ranker(run: Run) -> L.Ranker:
@@ -276,12 +303,20 @@ def stage_seed(run: Run) -> dict:
 
 
 def stage_scalability(run: Run) -> dict:
-    """ALS and pair scoring at the session's parallelism; scoring is forced whole, into the no-op sink."""
-    a, began = run.cfg.get("als"), time.time()
-    model = L.train_als(run.train, a["rank"], run.cfg.get("scalability.max_iter"), a["reg_param"], seed=run.seed)
-    fitted = time.time()
-    L.score_pairs(model.userFactors, model.itemFactors, run.candidates).write.format("noop").mode("overwrite").save()
-    return {"parallelism": run.spark.sparkContext.defaultParallelism, "fit_s": fitted - began, "score_s": time.time() - fitted}
+    """ALS and pair scoring in so many tasks at once, for each of the set numbers; scoring is forced whole, into the no-op sink."""
+    a, s, sweep = run.cfg.get("als"), run.cfg.get("scalability"), []
+    run.candidates.count()
+    for tasks in s["parallelism"]:
+        began = time.time()
+        model = L.train_als(run.train.coalesce(tasks), a["rank"], s["max_iter"], a["reg_param"], seed=run.seed, blocks=tasks)
+        fitted = time.time()
+        L.score_pairs(model.userFactors, model.itemFactors, run.candidates.coalesce(tasks)).write.format("noop").mode("overwrite").save()
+        sweep.append({"parallelism": tasks, "fit_s": fitted - began, "score_s": time.time() - fitted})
+    first = sweep[0]
+    for one in sweep:
+        one["fit_speedup"] = first["fit_s"] / one["fit_s"]
+        one["fit_efficiency"] = one["fit_speedup"] * first["parallelism"] / one["parallelism"]
+    return {"cores": run.spark.sparkContext.defaultParallelism, "sweep": sweep}
 
 
 STAGES: dict[str, Callable[[Run], dict]] = {

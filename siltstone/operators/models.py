@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dot, keyed_hash
 from ..functions.indexing import dense_index
 from ..shared import cut, written
+from .protocol import bernoulli
 
 
 @dataclass
@@ -25,10 +26,11 @@ class Factors:
     itemFactors: DataFrame
 
 
-def train_als(train: DataFrame, rank: int = 64, max_iter: int = 10, reg: float = 0.1, nonnegative: bool = True, implicit: bool = False, seed: int = 0) -> Factors:
+def train_als(train: DataFrame, rank: int = 64, max_iter: int = 10, reg: float = 0.1, nonnegative: bool = True, implicit: bool = False, seed: int = 0, blocks: int = 10) -> Factors:
     """ALS over (userId, movieId, rating).  It takes 32-bit ids; tables with wider ones are numbered first and their factors named back."""
     als = ALS(
-        rank=rank, maxIter=max_iter, regParam=reg, nonnegative=nonnegative, implicitPrefs=implicit, coldStartStrategy="drop", seed=seed, userCol="userId", itemCol="movieId", ratingCol="rating"
+        rank=rank, maxIter=max_iter, regParam=reg, nonnegative=nonnegative, implicitPrefs=implicit, coldStartStrategy="drop", seed=seed, userCol="userId", itemCol="movieId", ratingCol="rating",
+        numUserBlocks=blocks, numItemBlocks=blocks,
     )
     rows = train.select("userId", "movieId", F.col("rating").cast("float").alias("rating"))
     widest = rows.agg(*[F.max(F.abs(c)).alias(c) for c in ("userId", "movieId")]).first()
@@ -62,8 +64,8 @@ def assemble(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def lambdas(scored: DataFrame, truncation: int = 10) -> DataFrame:
-    """userId, movieId, grad and hess of LambdaRank for groups of one positive; one row for each with a gradient."""
-    order = Window.partitionBy("userId").orderBy(F.desc("score"), "movieId")
+    """userId, movieId, grad and hess of LambdaRank for groups of one positive; one row for each with a gradient.  Ties go by ``row`` where there is one."""
+    order = Window.partitionBy("userId").orderBy(F.desc("score"), *(c for c in ("row", "movieId") if c in scored.columns))
     ranked = scored.select("userId", "movieId", "label", "score", F.row_number().over(order).alias("r"))
     best = ranked.filter("label = 1").select("userId", F.col("movieId").alias("pm"), F.col("score").alias("ps"), F.col("r").alias("pr"))
     gain = lambda r: 1.0 / F.log2(r.cast("double") + 1.0)
@@ -88,8 +90,10 @@ class Ranker:
     def predict(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``score``."""
         made = assemble(rows, self.columns).withColumn("score", F.lit(0.0))
-        for tree, values in zip(self.trees, self.leaves, strict=True):
+        for k, (tree, values) in enumerate(zip(self.trees, self.leaves, strict=True)):
             made = _step(made, tree, values, self.rate)
+            if (k + 1) % 25 == 0:  # a plan of hundreds of trees would be too long
+                made = cut(made)
         return made.drop("features")
 
     def save(self, path: str) -> None:
@@ -130,16 +134,25 @@ def _step(rows: DataFrame, tree: DecisionTreeRegressionModel, values: dict[float
 
 
 def train_ranker(
-    groups: DataFrame, columns: list[str], rounds: int = 30, rate: float = 0.1, depth: int = 5, min_leaf: int = 100, truncation: int = 10, seed: int = 0, reg: float = 1.0, cut_every: int = 5, early_stopping: int = 0, validation: DataFrame | None = None
+    groups: DataFrame, columns: list[str], rounds: int = 30, rate: float = 0.1, depth: int = 5, min_leaf: int = 100, truncation: int = 10, seed: int = 0, reg: float = 1.0, cut_every: int = 5, early_stopping: int = 0, validation: DataFrame | None = None, row_share: float = 1.0, column_share: float = 1.0
 ) -> Ranker:
-    """LambdaMART over groups (userId, movieId, label, columns): each round fits a tree to the gradients and sets its leaves by Newton steps."""
-    ranker = Ranker(columns, rate)
-    data = cut(assemble(groups.select("userId", "movieId", "label", *columns), columns).select("userId", "movieId", "label", "features").withColumn("score", F.lit(0.0)))
+    """LambdaMART over groups (userId, movieId, label, columns): each round fits a tree to the gradients and sets its leaves by Newton steps.
+
+    A tree is fitted to ``row_share`` of the rows, by keyed hash, and each of its
+    nodes looks at ``column_share`` of the features.
+    """
+    ranker, keys = Ranker(columns, rate), [c for c in ("userId", "movieId", "label", "row") if c in groups.columns]
+    data = cut(assemble(groups.select(*keys, *columns), columns).select(*keys, "features").withColumn("score", F.lit(0.0)))
     best, since = -1.0, 0
     for k in range(rounds):
         pull = lambdas(data, truncation)
         fit = data.join(pull, ["userId", "movieId"], "left").na.fill(0.0, ["grad", "hess"])
-        tree = DecisionTreeRegressor(featuresCol="features", labelCol="grad", leafCol="leaf", maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed + k).fit(fit)
+        seen = fit if row_share >= 1.0 else bernoulli(fit, row_share, seed + k, "userId", "movieId")
+        # A forest of one tree without bootstrap is a tree whose nodes sample their features.
+        forest = RandomForestRegressor(
+            featuresCol="features", labelCol="grad", numTrees=1, bootstrap=False, featureSubsetStrategy="all" if column_share >= 1.0 else str(column_share), maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed + k
+        )
+        tree = forest.fit(seen).trees[0].setLeafCol("leaf")
         sums = tree.transform(fit).groupBy("leaf").agg((F.sum("grad") / (F.sum("hess") + F.lit(reg))).alias("v")).collect()
         values = {r["leaf"]: r["v"] for r in sums}
         ranker.trees.append(tree)

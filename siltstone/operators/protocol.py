@@ -241,6 +241,14 @@ def build_groups(
     )
 
 
+def number_groups(groups: DataFrame, positive: str = "first") -> DataFrame:
+    """``groups`` with ``row``, from 0 within a user: the positive first or last, the rest by movie."""
+    if positive not in ("first", "last"):
+        raise ValueError(f"unknown place of the positive: {positive}")
+    label = F.desc("label") if positive == "first" else F.asc("label")
+    return groups.withColumn("row", F.row_number().over(Window.partitionBy("userId").orderBy(label, "movieId")) - 1)
+
+
 def bernoulli(frame: DataFrame, fraction: float, seed: Column | int, *keys: str) -> DataFrame:
     """A sample whose rows depend on their keys and the seed, not on the partitioning."""
     unit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.lit("sample"), *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long")

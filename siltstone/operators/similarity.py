@@ -33,6 +33,15 @@ def cosine(liked: DataFrame) -> DataFrame:
     return half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
 
 
+def brute_force(liked: DataFrame, queries: DataFrame, top_k: int = 50) -> DataFrame:
+    """The exact neighbours of the ``queries`` (movieId) against all items; pairs of two other items are never made."""
+    counts = liked.groupBy("movieId").agg(F.count(F.lit(1)).alias("c"))
+    asked = liked.join(queries.select("movieId"), "movieId", "left_semi").select("userId", F.col("movieId").alias("src"))
+    both = asked.join(liked.select("userId", F.col("movieId").alias("dst")), "userId").filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
+    sized = both.join(counts.toDF("src", "cs"), "src").join(counts.toDF("dst", "cd"), "dst")
+    return neighbours(sized.select("src", "dst", (F.col("k") / F.sqrt((F.col("cs") * F.col("cd")).cast("double"))).alias("sim")), top_k)
+
+
 def neighbours(sims: DataFrame, top_k: int = 50) -> DataFrame:
     """The ``top_k`` most similar of each item, with their rank; ties go to the lower id."""
     ranked = sims.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst")))

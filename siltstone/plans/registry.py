@@ -165,6 +165,8 @@ query("bernoulli_sample", f"WITH {Q.RATINGS} SELECT * FROM ratings WHERE {Q.hexe
     lambda v: P.bernoulli(v.ratings, 0.01, SEED, "userId", "movieId", "timestamp")
 )
 
+query("train_groups_positive_last", f"WITH {Q.groups('')} SELECT *, row_number() OVER (PARTITION BY {U} ORDER BY label, {M})::INT - 1 AS row FROM groups")(lambda v: P.number_groups(v.new_groups(), "last"))
+
 # Evaluation and serving
 query("popularity_scores", f"WITH {Q.CANDIDATES}, {Q.RANKED} SELECT cand_id, score FROM scores")(lambda v: E.popularity_scores(v.train, v.candidates))
 query("popularity_ndcg_per_user", f"WITH {Q.CANDIDATES}, {Q.RANKED} SELECT {U}, rank, {r9('ndcg')}, hit FROM per_user")(lambda v: E.per_user(v.scored()))
@@ -276,6 +278,9 @@ def _asked(v: Views) -> DataFrame:
     return v.liked.select("movieId").distinct().filter("movieId % 100 = 0")
 
 
+query("brute_force_neighbours", f"WITH {Q.FULL}, {Q.COSINE} SELECT src, dst, {r9('sim')}, rank FROM top50 WHERE src % 100 = 0")(lambda v: S.brute_force(v.liked, _asked(v), TOP))
+
+
 def _recall(v: Views, bits: int, band: int) -> DataFrame:
     asked, sims = _asked(v), S.cosine(v.liked)
     found = S.lsh_candidates(S.band_keys(v.liked, bits, band, SEED), asked)

@@ -11,6 +11,7 @@ from ..functions import decay, epoch_day
 from ..operators.features import movie_genres
 from ..operators.protocol import bernoulli
 from ..schema import RATINGS
+from ..sources.readers import sample_users
 
 PRUNE = 1e-6
 
@@ -95,12 +96,14 @@ def run_stream(
     threshold: float = 4.0,
     snapshot_batches: tuple[int, ...] = (1, 4, 8, 11),
     demo_users: int = 5,
+    shown: DataFrame | None = None,
     on_progress: Callable[[dict], None] | None = None,
 ) -> dict[str, str]:
     """Replays ``events_dir`` to its end.  Every batch writes its own ``batch_id`` folder, so a batch that is run again replaces itself.
 
     A batch without rows leaves no folder; the next one goes on from the last
-    that has one.  ``demo_users`` are fixed by the first batch with rows.
+    that has one.  Snapshots are of the users ``shown`` (userId), else of
+    ``demo_users`` users of the first batch with rows, those of the least keyed hash.
 
     Tables under ``out_dir``: user_daily and movie_daily, sample, profile (the
     state after each batch), snapshots, progress.
@@ -129,7 +132,7 @@ def run_stream(
             old = spark.read.parquet(f"{paths['profile']}/batch_id={before[-1]}")
             gap = max(seen[2] - spark.read.parquet(f"{paths['progress']}/batch_id={before[-1]}").first()["end_day"], 0)
         else:
-            put(top_active_users(batch, demo_users).select("userId"), "demo_users", batch_id)
+            put(sample_users(batch, demo_users, seed) if shown is None else shown.select("userId"), "demo_users", batch_id)
         new = contributions(batch, genres, seen[2], half_life, threshold)
         state = put(merge_profile(old, new, gap, half_life), "profile", batch_id)
         merged = (new if old is None else old.select("userId", "genre").union(new.select("userId", "genre"))).select("userId", "genre").distinct().count()

@@ -62,3 +62,12 @@ def test_csv_tables_are_read(spark, tmp_path):
     assert [tuple(r) for r in readers.read_tags(spark, f"file://{tmp_path}/tags.csv", one).collect()] == [(1, 10, None, 100)]
     made = cli.main(["--stages", "validate", "--data", f"file://{tmp_path}", "--out", f"file://{tmp_path}/out"])
     assert made["validate"]["all_passed"] and made["validate"]["ratings"]["n_rows"] == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_the_search_and_the_sweep_report_times(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"als": {"rank": 4, "max_iter": 1}, "scalability": {"max_iter": 1, "parallelism": [1, 2]}, "recall": {"max_items": 50, "max_users": 50, "top_k": 10, "lsh_bits": [8], "band_sizes": [4, 3], "query_sample": 5}}))
+    made = cli.main(["--config", str(tmp_path / "c.json"), "--stages", "lsh,scalability", "--data", DATA, "--out", f"file://{tmp_path}/out"])
+    lsh, sweep = made["lsh"], made["scalability"]["sweep"]
+    assert lsh["brute_force_agreement"] == 1.0 and lsh["brute_force_ms"] > 0 and [c["band_size"] for c in lsh["configs"]] == [4] and lsh["configs"][0]["build_s"] > 0
+    assert [s["parallelism"] for s in sweep] == [1, 2] and sweep[0]["fit_speedup"] == 1.0

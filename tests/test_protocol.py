@@ -252,3 +252,43 @@ def test_repeated_scores_are_an_error(spark):
     scores = spark.createDataFrame([(0, 1.0), (0, 2.0)], "cand_id long, score double")
     with pytest.raises(ValueError):
         E.require_aligned(rows, E.align_scores(rows, scores))
+
+
+def test_brute_force_equals_the_exact_neighbours_of_the_queries(spark):
+    liked = spark.createDataFrame([(u, (u * 5 + i * i) % 13) for u in range(20) for i in range(4)], "userId long, movieId long").distinct()
+    asked = spark.createDataFrame([(1,), (7,), (99,)], "movieId long")
+    rows = lambda df: sorted((r["src"], r["dst"], round(r["sim"], 9), r["rank"]) for r in df.collect())
+    exact = S.neighbours(S.cosine(liked), 5).filter("src in (1, 7, 99)")
+    assert rows(S.brute_force(liked, asked, 5)) == rows(exact) != []
+
+
+def test_the_positive_stands_first_or_last(spark):
+    groups = spark.createDataFrame([(1, 5, 0), (1, 3, 1), (1, 2, 0)], "userId long, movieId long, label int")
+    order = lambda place: [r["movieId"] for r in P.number_groups(groups, place).orderBy("row").collect()]
+    assert order("first") == [3, 2, 5] and order("last") == [2, 5, 3]
+    with pytest.raises(ValueError):
+        P.number_groups(groups, "middle")
+
+
+def test_ties_of_scores_go_by_the_row(spark):
+    groups = spark.createDataFrame([(1, 5, 0), (1, 3, 1), (1, 2, 0)], "userId long, movieId long, label int").withColumn("score", F.lit(0.0))
+    pull = lambda place: next(r["grad"] for r in L.lambdas(P.number_groups(groups, place)).collect() if r["movieId"] == 3)
+    assert pull("first") == pytest.approx(0.5 * (1 - 0.630929753) + 0.5 * (1 - 0.5)) and pull("last") != pytest.approx(pull("first"))
+
+
+def test_a_ranker_of_sampled_rows_and_columns_still_learns(spark):
+    rows = [(u, m, int(m == u % 20), 1.0 if m == u % 20 else 0.0, float((u * 7 + m * 13) % 11)) for u in range(40) for m in range(20)]
+    groups = spark.createDataFrame(rows, "userId long, movieId long, label int, signal double, noise double")
+    model = L.train_ranker(groups, ["signal", "noise"], rounds=3, depth=2, min_leaf=5, row_share=0.8, column_share=0.9)
+    assert E.metrics(E.per_user(model.predict(groups))).first()["ndcg"] == pytest.approx(1.0)
+
+
+def test_snapshots_are_of_the_users_that_are_shown(spark, tmp_path):
+    kinds = "userId long, movieId long, rating float, timestamp long"
+    films = spark.createDataFrame([(1, "a (1990)", "Drama")], "movieId long, title string, genres string")
+    spark.createDataFrame([(u, 1, 5.0, u) for u in range(9)], kinds).coalesce(1).write.parquet(f"file://{tmp_path}/events")
+    shown = spark.createDataFrame([(4,), (8,)], "userId long")
+    for name, given, n in (("a", shown, 2), ("b", None, 3)):
+        paths = replay.run_stream(spark, f"file://{tmp_path}/events", f"file://{tmp_path}/{name}", f"file://{tmp_path}/{name}-check", films, demo_users=3, shown=given, snapshot_batches=(0,))
+        users = {r["userId"] for r in spark.read.parquet(paths["snapshots"]).collect()}
+        assert len(users) == n and (given is None or users == {4, 8})
