@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import read, ship, vocabulary_path, written
+from .common import give_back, giving_back, read, ship, vocabulary_path, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters in a unit, about, and in a block of texts that is cut at a time; a longer text is one by itself.
@@ -248,7 +248,13 @@ def _encode(name: str) -> Callable:
 
 
 def _assemble(unit: pa.Table) -> pa.Table:
-    """The ids of a unit's documents, by position."""
+    """The ids of a unit's documents, by position; what it took to make them goes back after each unit."""
+    made = _in_order(unit)
+    give_back()
+    return made
+
+
+def _in_order(unit: pa.Table) -> pa.Table:
     owns, sizes, flats, sequence, ids = [], [], [], None, None
     for kind, listed, data in zip(unit.column("kind").to_pylist(), range(unit.num_rows), unit.column("data").to_pylist(), strict=True):
         arrays = _unpack(data)
@@ -291,8 +297,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     packed = f"part int, unit bigint, kind int, ids array<{kind.simpleString()}>, data binary"
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spread = rows.mapInArrow(_spread(parts, to_arrow_type(kind)), packed).repartitionById(parts, "part")
-    encoded = spread.mapInArrow(_encode(vocabulary), packed)
+    spread = rows.mapInArrow(giving_back(_spread(parts, to_arrow_type(kind))), packed).repartitionById(parts, "part")
+    encoded = spread.mapInArrow(giving_back(_encode(vocabulary)), packed)
     return encoded.groupBy("unit").applyInArrow(_assemble, f"id {kind.simpleString()}, ids array<int>")
 
 
@@ -340,7 +346,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``id`` and ``bytes`` of the rows (id, ids)."""
     ship(encoded.sparkSession)
     kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.select("id", "ids").mapInArrow(_decode(vocabulary, False), f"id {kind}, bytes binary")
+    return encoded.select("id", "ids").mapInArrow(giving_back(_decode(vocabulary, False)), f"id {kind}, bytes binary")
 
 
 def digests(encoded: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
@@ -348,7 +354,7 @@ def digests(encoded: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = F
     ship(encoded.sparkSession)
     kind = encoded.schema["id"].dataType.simpleString()
     return encoded.select("id", "ids").mapInArrow(
-        _decode(vocabulary, True, with_ids), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+        giving_back(_decode(vocabulary, True, with_ids)), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     )
 
 

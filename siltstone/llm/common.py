@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import drop_written, written
 
-__all__ = ["BLANK", "drop_written", "few", "key_name", "let", "read", "ship", "vocabulary_path", "word_array", "written"]
+__all__ = ["BLANK", "drop_written", "few", "give_back", "giving_back", "key_name", "let", "read", "ship", "vocabulary_path", "word_array", "written"]
 
 #: Characters that part words (fixed values: space, and tab to carriage return).
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps a worker for later tasks, beside tasks that need the memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
+def giving_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``work`` on a task's batches; at the task's end its memory goes back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

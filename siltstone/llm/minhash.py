@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import drop_written, key_name, read, ship, written
+from .common import drop_written, giving_back, key_name, read, ship, written
 
 #: Coordinates of a signature, and the collisions that a candidate pair needs.
 K, T = 24, 9
@@ -153,7 +153,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, n (set size), node (the set's 128-bit name) and sig (empty for the empty set), one row per document."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_sign(size), f"id {kind}, n bigint, node binary, sig array<bigint>")
+    return rows.mapInArrow(giving_back(_sign(size)), f"id {kind}, n bigint, node binary, sig array<bigint>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # One document's text for each posted class; a repeated id may bring others, which the class's name tells apart.
     chosen = texts.join(wanted, texts["id"].eqNullSafe(wanted["rep"]), "left_semi").select("text")
-    made = chosen.mapInArrow(_sets(like.words), "node binary, set array<bigint>")
+    made = chosen.mapInArrow(giving_back(_sets(like.words)), "node binary, set array<bigint>")
     sets = written(made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "sets")
     linker = _Linker(classes, sets, like.percent)
 
