@@ -35,6 +35,24 @@ def test_temporal_split_sizes_and_order(ratings):
     assert all(r["a"] < r["b"] for r in edges)
 
 
+def test_rows_of_candidates_are_made_after_the_last_shuffle(spark, ratings, movies):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = P.build_candidates(P.temporal_split(ratings), movies, 50, "random", 7)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The plan's root comes first: users are shuffled, their rows are not.
+    assert "Generate explode" in plan and " Exchange " not in plan[: plan.index("Generate explode")]
+
+
+def test_walks_beyond_the_broadcast_size_give_the_same_rows(ratings, movies, monkeypatch):
+    make = lambda: sorted(map(tuple, P.build_candidates(P.temporal_split(ratings), movies, 50, "random", 7).collect()))
+    broadcast = make()
+    monkeypatch.setattr(P, "BROADCAST_ROWS", 0)
+    assert make() == broadcast and len(broadcast) == 6 * 51
+
+
 def test_candidates_hold_one_positive_and_no_seen_movie(ratings, movies):
     split = P.temporal_split(ratings)
     made = P.build_candidates(split, movies, 50, "random", 7).cache()
