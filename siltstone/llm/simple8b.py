@@ -44,8 +44,10 @@ END = 0
 CHUNK = 8192
 #: Characters that a block's texts hold, about; a longer text is a block by itself.
 BLOCK_CHARS = 1_500_000
-#: Words whose ids a worker remembers between blocks.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers between blocks: 32 bytes each, and 4 for each id.
+REMEMBERED = 2_000_000
+#: New words that are encoded as one text.
+JOINED = 256
 
 #: Ids per word and bits per id by selector; selector 0 is an escape.
 PACKINGS = [(1, 60), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -75,16 +77,30 @@ def _choose(ids: np.ndarray) -> np.ndarray:
     return choice
 
 
+def _reached(follow: np.ndarray, n: int) -> np.ndarray:
+    """The places that are reached from 0 by ``follow``, where no step passes a chunk's end: chunks advance side by side, in doubled steps."""
+    at = np.arange(0, n, CHUNK)
+    stop = np.minimum(at + CHUNK, n)
+    hit = np.zeros(n + 1, bool)
+    hit[at] = True
+    at, own = at.astype(np.int64), np.arange(len(at))
+    for _ in range(14):  # 2 ** 14 steps are more than a chunk's words
+        to = follow[at]
+        ahead = to < stop[own]
+        if not ahead.any():
+            break
+        at, own = np.concatenate([at, to[ahead]]), np.concatenate([own, own[ahead]])
+        hit[to[ahead]] = True
+        follow = follow[follow]
+    return np.flatnonzero(hit[:n])
+
+
 def pack(ids: np.ndarray, ends: np.ndarray) -> bytes:
     """A block of ids (unsigned, up to 64 bits); ``ends``: where each document ends."""
     ids = ids.astype(np.uint64)
     n = len(ids)
     choice = np.concatenate([_choose(ids[i : i + 8 * CHUNK]) for i in range(0, n, 8 * CHUNK)] or [np.zeros(0, np.int64)])
-    follow, starts, i = (np.arange(n) + _COUNTS[choice]).tolist(), [], 0
-    while i < n:
-        starts.append(i)
-        i = follow[i]
-    at = np.array(starts, np.int64)
+    at = _reached(np.append(np.minimum(np.arange(n) + _COUNTS[choice], n), n), n)
     kinds, escapes = choice[at], ids[:0]
     words = kinds.astype(np.uint64) << np.uint64(60)
     for selector in np.unique(kinds).tolist():
@@ -143,35 +159,91 @@ def tokenizer(name: str):  # noqa: ANN201  the tokenizers library's class
     return loaded
 
 
+@lru_cache(maxsize=2)
+def _token_bytes(name: str) -> np.ndarray:
+    """How many bytes each id of a byte-level vocabulary stands for: a token has one character for each."""
+    sizes = tokenizer(name).get_vocab()
+    out = np.zeros(max(sizes.values()) + 1, np.int64)
+    out[np.fromiter(sizes.values(), np.int64, len(sizes))] = np.fromiter(map(len, sizes), np.int64, len(sizes))
+    return out
+
+
 class _Words:
-    """The tokenizers library's ids of pre-tokens; each word is encoded once as long as it is remembered."""
+    """The tokenizers library's ids of pre-tokens; each word is encoded once as long as it is remembered.
+
+    Words are known by two 64-bit hashes of their characters; the first ones are
+    kept in order beside the word's row.
+    """
 
     def __init__(self, name: str):
         self.name = name
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.bounds, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
-
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > REMEMBERED:
+        self.hashes, self.others, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.bounds, self.used, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0, 0
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids end to end, and how many each has.
+
+        Words that begin with a blank are encoded as one text, ``JOINED`` at a time:
+        the pattern cuts it at the blanks again, and tokens' bytes tell where.
+        """
+        sizes = np.zeros(len(words), np.int64)
+        led = [i for i, w in enumerate(words) if w[0] == " " and len(w) > 1 and not w[1].isspace()]
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        texts = ["".join([words[i] for i in led[at : at + JOINED]]) for at in range(0, len(led), JOINED)]
+        apart = set(range(len(words))).difference(led)
+        for k, made in enumerate(tokenizer(self.name).encode_batch_fast(texts, add_special_tokens=False)):
+            own, ids = led[k * JOINED : (k + 1) * JOINED], np.array(made.ids, np.int64)
+            ends = np.cumsum([len(words[i].encode("utf-8", "surrogatepass")) for i in own])
+            reached = np.cumsum(_token_bytes(self.name)[ids])
+            stop = np.searchsorted(reached, ends)
+            if len(reached) and reached[-1] == ends[-1] and np.array_equal(reached[stop], ends):
+                sizes[own] = np.diff(stop + 1, prepend=0)
+                parts.append((np.array(own), ids))
+            else:  # not cut as expected: each by itself
+                apart.update(own)
+        rest = sorted(apart)
+        single = [e.ids for e in tokenizer(self.name).encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+        if rest:
+            sizes[rest] = np.fromiter(map(len, single), np.int64, len(single))
+            parts.append((np.array(rest), np.fromiter(chain.from_iterable(single), np.int64, int(sizes[rest].sum()))))
+        order = np.concatenate([own for own, _ in parts])
+        starts = np.append(0, np.cumsum(sizes[order]))
+        back = np.empty(len(words), np.int64)
+        back[order] = np.arange(len(words))
+        return spans.take(np.concatenate([ids for _, ids in parts]).astype(np.uint32), starts, back)[0], sizes
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The rows of the words of these hashes, -1 for new ones."""
+        at = np.minimum(np.searchsorted(self.hashes, first), max(len(self.hashes) - 1, 0))
+        if not len(self.hashes):
+            return np.full(len(first), -1)
+        return np.where((self.hashes[at] == first) & (self.others[at] == second), self.rows[at], -1)
+
+    def ids(self, first: np.ndarray, second: np.ndarray, word: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of these hashes end to end, and their offsets; ``word`` gives the texts of places among them."""
+        if self.n > REMEMBERED:
             self.forget()
-        fresh = [w for w in words if w not in self.known]
-        n = len(self.known)
-        made = [e.ids for e in tokenizer(self.name).encode_batch_fast(fresh, add_special_tokens=False)]
-        sizes = np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
-        if made:
-            while n + len(made) >= len(self.bounds):
+        rows = self.find(first, second)
+        fresh = np.flatnonzero(rows < 0)
+        if len(fresh):
+            flat, sizes = self.encode(word(fresh))
+            while self.n + len(fresh) >= len(self.bounds):
                 self.bounds = np.concatenate([self.bounds, np.zeros(len(self.bounds), np.int64)])
-            while self.used + sizes[-1] > len(self.flat):
+            while self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-            self.flat[self.used : self.used + sizes[-1]] = np.fromiter(chain.from_iterable(made), np.uint32, int(sizes[-1]))
-            self.bounds[n + 1 : n + 1 + len(made)] = self.used + sizes
-            self.used += int(sizes[-1])
-            self.known.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-        rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        return spans.take(self.flat, self.bounds[: len(self.known) + 1], rows)
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.bounds[self.n + 1 : self.n + 1 + len(fresh)] = self.used + np.cumsum(sizes)
+            self.used += len(flat)
+            rows[fresh] = self.n + np.arange(len(fresh))
+            self.n += len(fresh)
+            # Of words with one first hash the one that is kept is found, the others are encoded each time.
+            order = np.argsort(first[fresh], kind="stable")
+            to = np.searchsorted(self.hashes, first[fresh][order])
+            self.hashes, self.others, self.rows = (np.insert(a, to, b[fresh][order]) for a, b in ((self.hashes, first), (self.others, second), (self.rows, rows)))
+        return spans.take(self.flat, self.bounds[: self.n + 1], rows)
 
 
 @lru_cache(maxsize=2)
@@ -184,9 +256,13 @@ def token_ids(texts: list[str], name: str, end: int) -> tuple[np.ndarray, np.nda
     cp, offsets = spans.code_points(texts)
     starts, first = spans.pre_tokens(cp, offsets)
     ends = np.append(starts[1:], len(cp))
-    codes, seen = spans.number(cp, starts, ends)
+    codes, seen, first_hash, second_hash = spans.number(cp, starts, ends, hashes=True)
     whole = "".join(texts)
-    flat, bounds = _words(name).ids([whole[a:b] for a, b in zip(starts[seen].tolist(), ends[seen].tolist(), strict=True)])
+
+    def word(at: np.ndarray) -> list[str]:
+        return [whole[a:b] for a, b in zip(starts[seen[at]].tolist(), ends[seen[at]].tolist(), strict=True)]
+
+    flat, bounds = _words(name).ids(first_hash, second_hash, word)
     ids, at = spans.take(flat, bounds, codes)
     stop = at[first[1:]]
     return np.insert(ids, stop, end), stop + np.arange(1, len(texts) + 1)

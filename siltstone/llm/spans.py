@@ -144,9 +144,10 @@ def span_hash(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int =
         return mix(out)
 
 
-def number(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each span's content, by first appearance, and the first span of each number."""
-    codes, kinds = pd.factorize(span_hash(cp, starts, ends))
+def number(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: bool = False) -> tuple[np.ndarray, ...]:
+    """The number of each span's content, by first appearance, and the first span of each number; with ``hashes`` two of each number too."""
+    one = span_hash(cp, starts, ends)
+    codes, kinds = pd.factorize(one)
     first = np.full(len(kinds), len(codes), np.int64)
     at = np.arange(len(codes) - 1, -1, -1)
     first[codes[::-1]] = at
@@ -155,7 +156,7 @@ def number(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
         both = np.stack([codes.astype(np.uint64), other], 1)
         _, first, codes = np.unique(both, axis=0, return_index=True, return_inverse=True)
         codes = codes.reshape(-1)
-    return codes, first
+    return (codes, first, one[first], other[first]) if hashes else (codes, first)
 
 
 def take(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -103,3 +103,24 @@ def test_blocks_hold_the_library_s_ids_in_order(spark):
         assert got[1000 - i] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert simple8b.read_documents(simple8b.write_blocks(docs.limit(0))).count() == 0
+
+
+def test_new_words_are_encoded_together_with_the_same_ids(monkeypatch):
+    texts = ["".join(f" w{chr(97 + i % 26)}{'e' * (i % 7)}{chr(233 + i % 5)}" for i in range(2000)), " 's don't 12 a b 　 c\n\n  d  e  \U0001f600 \x1c x", "", "end"]
+    plain, given = simple8b.tokenizer(simple8b.VOCABULARY), []
+
+    class Counting:
+        def encode_batch_fast(self, batch, **how):
+            given.extend(batch)
+            return plain.encode_batch_fast(batch, **how)
+
+        get_vocab = plain.get_vocab
+
+    monkeypatch.setattr(simple8b, "tokenizer", lambda name: Counting())
+    simple8b._words.cache_clear()
+    for _ in range(2):  # new words, then remembered ones
+        flat, ends = simple8b.token_ids(texts, simple8b.VOCABULARY, 0)
+        want = [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert flat.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    simple8b._words.cache_clear()
+    assert len(given) < 60  # one text for many words; there are over 400 distinct ones
