@@ -310,3 +310,21 @@ def test_snapshots_are_of_the_users_that_are_shown(spark, tmp_path):
         paths = replay.run_stream(spark, f"file://{tmp_path}/events", f"file://{tmp_path}/{name}", f"file://{tmp_path}/{name}-check", films, demo_users=3, shown=given, snapshot_batches=(0,))
         users = {r["userId"] for r in spark.read.parquet(paths["snapshots"]).collect()}
         assert len(users) == n and (given is None or users == {4, 8})
+
+
+@pytest.mark.parametrize("bands,width", [(32, 4), (8, 8), (3, 31), (5, 1)])
+def test_candidate_pairs_are_made_once_and_never_shuffled(spark, bands, width):
+    import random
+
+    rng = random.Random(bands)
+    rows = [(i, b, rng.choice([0, 1, (1 << width) - 1, rng.randrange(1 << width)])) for i in range(40) for b in range(bands)]
+    keys = spark.createDataFrame(rows, "movieId long, band int, key long")
+    asked = spark.createDataFrame([(0,), (7,)], "movieId long")
+    of = lambda i: {(b, k) for j, b, k in rows if j == i}
+    want = sorted((a, j) for a in (0, 7) for j in range(40) if a != j and of(a) & of(j))
+    found = S.lsh_candidates(keys, asked)
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Exchange" not in plan[: plan.index("Join")] and "Aggregate" not in plan[: plan.index("Join")]
+    sims = spark.createDataFrame([(0, j, 0.5) for j in range(1, 40)], "src long, dst long, sim double")
+    assert sorted(r["dst"] for r in S.lsh_found(keys, sims).collect()) == [j for a, j in want if a == 0]
