@@ -328,3 +328,21 @@ def test_candidate_pairs_are_made_once_and_never_shuffled(spark, bands, width):
     assert "Join" in plan and "Exchange" not in plan[: plan.index("Join")] and "Aggregate" not in plan[: plan.index("Join")]
     sims = spark.createDataFrame([(0, j, 0.5) for j in range(1, 40)], "src long, dst long, sim double")
     assert sorted(r["dst"] for r in S.lsh_found(keys, sims).collect()) == [j for a, j in want if a == 0]
+
+
+def test_candidates_are_scored_by_movie_without_a_shuffle(spark, monkeypatch):
+    train = spark.createDataFrame([(1, m, 5.0, 1) for m in (5, 5, 7, 9000)], KINDS)
+    rows = [(0, 5), (1, 7), (2, 9000), (3, 8), (4, -3), (5, 10_000), (6, None), (7, 2**62)]
+    candidates = spark.createDataFrame(rows, "cand_id long, movieId long")
+    want = {0: 2.0, 1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0, 7: 0.0}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = E.popularity_scores(train, candidates)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan[: plan.index("BroadcastExchange")]
+        assert {r["cand_id"]: r["score"] for r in found.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    monkeypatch.setattr(E, "BROADCAST_SPAN", 1)
+    assert {r["cand_id"]: r["score"] for r in E.popularity_scores(train, candidates).collect()} == want
