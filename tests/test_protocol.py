@@ -346,3 +346,13 @@ def test_candidates_are_scored_by_movie_without_a_shuffle(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     monkeypatch.setattr(E, "BROADCAST_SPAN", 1)
     assert {r["cand_id"]: r["score"] for r in E.popularity_scores(train, candidates).collect()} == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_two_arms_are_ranked_once(spark):
+    from siltstone.plans import registry
+
+    assert "Window" not in _plan(registry._pairs(registry.Views(spark, "/root/testdata/sf0.001")))
