@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bayes_rating, genres_of, release_year
+from ..shared import written
+from .evaluation import values_by
 
 NULL = F.lit
 
@@ -53,8 +55,9 @@ def count_features(pairs: DataFrame, train: DataFrame, movies: DataFrame, thresh
     catalog = movies.select("movieId").distinct().join(by_movie, "movieId", "full_outer").select(
         "movieId", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("m_n", "m_p")], F.coalesce("m_s", F.lit(0.0)).alias("m_s")
     )
-    prior = by_movie.agg(F.percentile("m_n", F.lit(bayes_quantile)).alias("prior_n"), (F.sum("m_s") / F.sum("m_n")).alias("prior_mean"))
-    rows = _with_own(pairs, train, leave_out).join(catalog, "movieId", "left").join(by_user, "userId", "left").crossJoin(F.broadcast(prior))
+    catalog = written(catalog, "movie-counts")
+    prior = catalog.filter("m_n > 0").agg(F.percentile("m_n", F.lit(bayes_quantile)).alias("prior_n"), (F.sum("m_s") / F.sum("m_n")).alias("prior_mean"))
+    rows = values_by(_with_own(pairs, train, leave_out).join(by_user, "userId", "left"), catalog).crossJoin(F.broadcast(prior))
     one, liked, own = F.col("own").isNotNull().cast("long"), F.coalesce((F.col("own") >= threshold).cast("long"), F.lit(0)), F.coalesce("own", F.lit(0.0))
     n, p, s = F.col("m_n") - one, F.col("m_p") - liked, F.col("m_s") - own
     un, up, us = F.col("u_n") - one, F.col("u_p") - liked, F.col("u_s") - own

@@ -356,3 +356,12 @@ def test_pairs_of_two_arms_are_ranked_once(spark):
     from siltstone.plans import registry
 
     assert "Window" not in _plan(registry._pairs(registry.Views(spark, "/root/testdata/sf0.001")))
+
+
+def test_count_features_meet_the_catalog_without_a_shuffle_of_pairs(spark):
+    train = spark.createDataFrame([(u, m, 4.0, 0) for u in range(6) for m in range(u + 2)], "userId long, movieId long, rating float, timestamp long")
+    movies = spark.createDataFrame([(m, f"m{m} (1990)", "A") for m in range(9)], "movieId long, title string, genres string")
+    pairs = train.select("userId", "movieId")
+    made = X.count_features(pairs, train, movies, leave_out=True)
+    assert _plan(made).count("hashpartitioning(movieId") == 0
+    assert {(r["userId"], r["movieId"]): r["movie_count"] for r in made.collect()}[0, 0] == 5
