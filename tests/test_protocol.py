@@ -365,3 +365,18 @@ def test_count_features_meet_the_catalog_without_a_shuffle_of_pairs(spark):
     made = X.count_features(pairs, train, movies, leave_out=True)
     assert _plan(made).count("hashpartitioning(movieId") == 0
     assert {(r["userId"], r["movieId"]): r["movie_count"] for r in made.collect()}[0, 0] == 5
+
+
+def test_windows_of_many_targets_equal_brute_force(spark):
+    days = [(d * 3, k, d + k) for k in (1, 2) for d in range(-40, 60)]
+    daily = lambda key: spark.createDataFrame(days, f"day long, {key} long, count long")
+    pairs = spark.createDataFrame([(u, m, t * 86400 + 5) for u in (1, 2, 3) for m in (1, 2, 9) for t in (-50, 0, 31, 100)] + [(1, 2, None)], "userId long, movieId long, target_ts long")
+    made = activity.activity_features(pairs, daily("userId"), daily("movieId"), "count")
+    assert "Generate" not in _plan(made) and _plan(made).count("hashpartitioning(userId") == 0
+
+    def total(key, t, w):
+        return None if key > 2 else sum(c for d, k, c in days if t is not None and k == key and t // 86400 - w <= d < t // 86400)
+
+    for r in made.collect():
+        for key, prefix, windows in (("userId", "user_activity", (7, 30, 90)), ("movieId", "movie_recent", (7, 30))):
+            assert [r[f"{prefix}_{w}d"] for w in windows] == [total(r[key], r["target_ts"], w) for w in windows]
