@@ -367,6 +367,17 @@ def test_count_features_meet_the_catalog_without_a_shuffle_of_pairs(spark):
     assert {(r["userId"], r["movieId"]): r["movie_count"] for r in made.collect()}[0, 0] == 5
 
 
+def test_edges_met_from_the_history_are_all_that_end_in_pairs(spark):
+    liked = spark.createDataFrame([(u, (u * 7 + i * 3) % 40) for u in range(30) for i in range(5)], "userId long, movieId long").distinct()
+    edges = spark.createDataFrame([(s, (s * 5 + i * i) % 200, 0.5) for s in range(40) for i in range(20)], "src long, dst long, sim double").distinct()
+    pairs = spark.createDataFrame([(u, (u * 11 + i * 13) % 200) for u in range(30) for i in range(1 + u * 3)], "userId long, movieId long")
+    got = S.met(pairs, liked, edges)
+    asked, likes = {tuple(r) for r in pairs.collect()}, [tuple(r) for r in liked.collect()]
+    want = {(u, r["dst"], j) for u, j in likes for r in edges.collect() if r["src"] == j and (u, r["dst"]) in asked}
+    made = [(r["userId"], r["movieId"], r["j"]) for r in got.collect()]
+    assert want <= set(made) and len(made) == len(set(made)) < len(likes) * 20
+
+
 def test_windows_of_many_targets_equal_brute_force(spark):
     days = [(d * 3, k, d + k) for k in (1, 2) for d in range(-40, 60)]
     daily = lambda key: spark.createDataFrame(days, f"day long, {key} long, count long")
