@@ -194,8 +194,8 @@ def _main(posts: DataFrame) -> DataFrame:
     return sizes.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
 
 
-def _within_reach(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``posts`` with ``shared``, the shingles of a class that one of another component has too.
+def _within_reach(posts: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``posts`` with ``shared``, the shingles of a class that one of another component has too, and ``weight``, how common those are; and those shingles (node, own).
 
     A pair to be compared has no more in common than either's ``shared``:
     classes that differ too much from all other components (copies changed too
@@ -203,9 +203,25 @@ def _within_reach(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     nodes = posts.select("node", "label").distinct()
     shingles = sets.join(nodes, "node").select("node", "label", F.explode("set").alias("s"))
-    common = shingles.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("s")
-    shared = shingles.join(common, "s").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    return written(posts.drop("shared").join(shared, "node").filter(f"100 * shared >= {percent} * n"), "postings")
+    common = shingles.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y").select("s", "c")
+    reach = written(shingles.join(common, "s").groupBy("node").agg(F.collect_list("s").alias("own"), F.sum("c").alias("weight")), "reach")
+    shared = reach.select("node", F.size("own").cast("bigint").alias("shared"), "weight")
+    return written(posts.drop("shared", "weight").join(shared, "node").filter(f"100 * shared >= {percent} * n"), "postings"), reach
+
+
+def _beside_hubs(posts: DataFrame, sets: DataFrame, reach: DataFrame) -> DataFrame:
+    """``posts`` with ``inside``, how many of a class's shared shingles the hub of its list has, and ``outside``, the others.
+
+    The hub is the class with the commonest shingles: the text that copies were
+    made from.  Copies share with each other what both have kept of it and what
+    both have put in, so no more than the lesser ``inside`` and the lesser
+    ``outside``.  Short lists need no hub: all is ``outside`` there.
+    """
+    hubs = posts.groupBy("token").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > SHORT).drop("c")
+    named = posts.join(hubs, "token", "left")
+    met = named.filter("hub is not null").select("node", "hub").distinct().join(reach.select("node", "own"), "node")
+    both = met.join(sets.toDF("hub", "of_hub"), "hub").select("node", "hub", F.size(F.array_intersect("own", "of_hub")).alias("inside"))
+    return named.join(both, ["node", "hub"], "left").withColumn("inside", F.coalesce("inside", F.lit(0))).withColumn("outside", F.col("shared") - F.col("inside"))
 
 
 class _Linker:
@@ -234,25 +250,21 @@ class _Linker:
     def meet_strays(self, posts: DataFrame) -> None:
         """Adds the links between classes outside a list's main component and all that are not of their own.
 
-        The join counts collisions and compares full sets itself and yields
-        links alone; a pair is compared in the first of the lists that it has
-        in common.  Long lists are split by a salt.
+        The join has no sets in it and yields the pairs whose bound allows
+        similarity, each in the first of the lists that it has in common.  Long
+        lists are split by a salt.
         """
         lists = posts.groupBy("node").agg(F.collect_list("token").alias("tokens"))
         parts = posts.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALTED)).cast("int").alias("parts")).join(_main(posts), "token")
-        kept = ("node", "label", "n", "shared", "tokens", "sig", "set")
-        full = posts.join(lists, "node").join(self.classes.select("node", "sig"), "node").join(self.sets, "node").select("token", *kept)
+        kept = ("node", "label", "n", "inside", "outside", "tokens")
         of = lambda rows, side: rows.select("token", "salt", *[F.col(c).alias(f"{c}_{side}") for c in kept], *(["main"] if side == "a" else []))
-        named = full.join(parts, "token")
+        named = posts.join(lists, "node").select("token", *kept).join(parts, "token")
         stray = of(named.filter("label <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "a")
         rest = stray.join(of(named.withColumn("salt", F.pmod(F.xxhash64("node"), "parts").cast("int")), "b"), ["token", "salt"])
         once = (F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
-        near = _similar(self.percent, F.col("n_a"), F.col("n_b"), F.least("shared_a", "shared_b"))
-        meets = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) >= T
+        near = _similar(self.percent, F.col("n_a"), F.col("n_b"), F.least("inside_a", "inside_b") + F.least("outside_a", "outside_b"))
         first = F.array_min(F.array_intersect("tokens_a", "tokens_b")) == F.col("token")
-        same = _similar(self.percent, F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("set_a", "set_b")))
-        links = rest.filter((F.col("label_a") != F.col("label_b")) & once & near & meets & first & same)
-        self.links = self.links.union(written(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "links"))
+        self.compare(rest.filter((F.col("label_a") != F.col("label_b")) & once & near & first).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
     def label(self, posts: DataFrame) -> DataFrame:
         """``posts`` with the component of each node, of lists with more than one."""
@@ -276,21 +288,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     sets = written(made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "sets")
     linker = _Linker(classes, sets, like.percent)
 
-    by = F.struct("score", "node")
     node = lambda side: F.col("node").alias(side)
 
-    def meet(hubs: DataFrame) -> DataFrame:
-        hub = hubs.groupBy("token").agg(F.max_by(F.struct("node", "label"), by).alias("hub"))
+    def meet(hubs: DataFrame, by: str = "score") -> DataFrame:
+        hub = hubs.groupBy("token").agg(F.max_by(F.struct("node", "label"), F.struct(by, "node")).alias("hub"))
         return posts.join(hub, "token").filter("label <> hub.label").select(node("a"), F.col("hub.node").alias("b")).distinct()
 
     linker.compare(meet(posts))
     posts = linker.label(posts)
     short = posts.join(posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= SHORT), "token", "left_semi")
     linker.compare(short.select("token", node("a"), F.col("label").alias("la")).join(short.select("token", node("b"), F.col("label").alias("lb")), "token").filter("a < b and la <> lb").select("a", "b").distinct())
-    posts = _within_reach(linker.label(posts), sets, like.percent)
-    linker.compare(meet(posts.join(_main(posts), "token").filter("label <> main")))
-    posts = _within_reach(linker.label(posts), sets, like.percent)
-    linker.meet_strays(posts)
+    posts, _ = _within_reach(linker.label(posts), sets, like.percent)
+    linker.compare(meet(posts, "weight").union(meet(posts.join(_main(posts), "token").filter("label <> main"))).distinct())
+    posts, reach = _within_reach(linker.label(posts), sets, like.percent)
+    linker.meet_strays(_beside_hubs(posts, sets, reach))
 
     labels = linker.contract()
     per = classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))

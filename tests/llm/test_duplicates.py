@@ -60,6 +60,25 @@ def test_components_equal_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_far_copies_are_told_apart_by_bounds(spark, monkeypatch):
+    """Copies changed too far meet no one set by set; those that are similar to the base alone are linked before the last join."""
+    base = text(200)
+    texts = {i: changed(base, 3 + i % 20) for i in range(120)} | {120: base}
+    met, compare, strays = [], minhash._Linker.compare, minhash._Linker.meet_strays
+
+    def meet_strays(self, posts):
+        labels = {bytes(r["node"]): bytes(r["label"]) for r in posts.select("node", "label").distinct().collect()}
+        self.compare = lambda pairs: (met.append((len(labels), len(set(labels.values())), pairs.count())), compare(self, pairs))
+        strays(self, posts)
+
+    monkeypatch.setattr(minhash._Linker, "meet_strays", meet_strays)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, similarity=minhash.Similarity(4, 80)).collect()}
+    assert got == components(texts)
+    [(classes, labels, pairs)] = met
+    assert labels > 20 and pairs < (labels - 1) * classes / 10
+
+
 def test_repeated_ids_nulls_and_no_rows(spark):
     base = text(80)
     rows = [(1, base, "a"), (1, base, "a"), (2, changed(base, 1), "b"), (None, base, "c"), (None, "other words here now", "d"), (1, text(30), "e"), (5, None, None)]
