@@ -42,7 +42,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the decoded bytes, and the ids."""
-    return bpe.digests(bpe.encode(docs), with_ids=True)
+    return bpe.encode_digests(docs, with_ids=True)
 
 
 STAGES = [

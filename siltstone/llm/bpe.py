@@ -47,7 +47,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 UNIT_CHARS = 12_000_000
 BLOCK_CHARS = 1_000_000
 #: Ids that one output batch holds, about.
-BATCH_IDS = 1_000_000
+BATCH_IDS = 250_000
 #: Words that a worker remembers with their ids.
 REMEMBERED = 2_000_000
 #: Operators of a plan whose partitions replay alike.
@@ -247,11 +247,17 @@ def _encode(name: str) -> Callable:
     return work
 
 
-def _assemble(unit: pa.Table) -> pa.Table:
-    """The ids of a unit's documents, by position; what it took to make them goes back after each unit."""
-    made = _in_order(unit)
-    give_back()
-    return made
+def _assemble(finish: Callable | None = None) -> Callable:
+    """The ids of a unit's documents, by position, or what ``finish`` makes of them; what it took to make them goes back after each unit."""
+
+    def work(unit: pa.Table) -> pa.Table:
+        made = _in_order(unit)
+        if finish:
+            made = pa.Table.from_batches(list(finish(made.to_batches())))
+        give_back()
+        return made
+
+    return work
 
 
 def _in_order(unit: pa.Table) -> pa.Table:
@@ -285,8 +291,8 @@ def _replays(df: DataFrame) -> bool:
     return all(line.lstrip(" :+-").startswith(_REPLAYED) for line in lines if line.strip())
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``id`` and ``ids`` (array of int), one row per document."""
+def _packed(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
+    """Rows (part, unit, kind, ids, data) of encoded words, and of sequences."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -298,8 +304,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     from pyspark.sql.pandas.types import to_arrow_type
 
     spread = rows.mapInArrow(giving_back(_spread(parts, to_arrow_type(kind))), packed).repartitionById(parts, "part")
-    encoded = spread.mapInArrow(giving_back(_encode(vocabulary)), packed)
-    return encoded.groupBy("unit").applyInArrow(_assemble, f"id {kind.simpleString()}, ids array<int>")
+    return spread.mapInArrow(giving_back(_encode(vocabulary)), packed)
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``id`` and ``ids`` (array of int), one row per document."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _packed(docs, id_col, text_col, vocabulary).groupBy("unit").applyInArrow(_assemble(), f"id {kind}, ids array<int>")
 
 
 def decode_ids(flat: np.ndarray, ends: np.ndarray, vocabulary: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
@@ -349,14 +360,22 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(giving_back(_decode(vocabulary, False)), f"id {kind}, bytes binary")
 
 
+def _digest_columns(kind: str, with_ids: bool) -> str:
+    return f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+
+
 def digests(encoded: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 (and ids) of the rows (id, ids): the ids are decoded for the last digest."""
     ship(encoded.sparkSession)
     kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.select("id", "ids").mapInArrow(
-        giving_back(_decode(vocabulary, True, with_ids)), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    )
+    return encoded.select("id", "ids").mapInArrow(giving_back(_decode(vocabulary, True, with_ids)), _digest_columns(kind, with_ids))
+
+
+def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+    """``digests`` of ``encode``, by the worker that puts a unit's ids in order: a task holds one worker, not two."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _packed(docs, id_col, text_col, vocabulary).groupBy("unit").applyInArrow(_assemble(_decode(vocabulary, True, with_ids)), _digest_columns(kind, with_ids))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(read(spark, sf_dir, "documents")))
+    return encode_digests(read(spark, sf_dir, "documents"))

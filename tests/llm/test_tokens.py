@@ -74,6 +74,18 @@ def test_bpe_of_an_empty_table(spark):
     assert bpe.digests(bpe.encode(documents(spark, []))).count() == 0
 
 
+def test_ids_are_ordered_and_digested_by_one_worker(spark, monkeypatch):
+    docs = documents(spark, TEXTS + odd_texts(200)).repartition(3)
+    monkeypatch.setattr(bpe, "BATCH_IDS", 1000)
+    rows = lambda df: sorted(str(r) for r in df.collect())
+    for with_ids in (False, True):
+        made = bpe.encode_digests(docs, with_ids=with_ids)
+        assert rows(made) == rows(bpe.digests(bpe.encode(docs), with_ids=with_ids))
+        last = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert "FlatMapGroupsInArrow" in last[0]  # no MapInArrow above it
+    assert bpe.encode_digests(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 59, 8191, 8192, 8193, 20000])
 @pytest.mark.parametrize("high", [1, 2, 70, 50257, 1 << 31, 1 << 63])
 def test_packed_ids_come_back(n, high):
