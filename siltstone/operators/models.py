@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dot, keyed_hash
 from ..functions.indexing import dense_index
-from ..shared import cut, written
+from ..shared import cut, keep_checkpoints, written
 from .protocol import bernoulli
 
 
@@ -27,10 +27,15 @@ class Factors:
 
 
 def train_als(train: DataFrame, rank: int = 64, max_iter: int = 10, reg: float = 0.1, nonnegative: bool = True, implicit: bool = False, seed: int = 0, blocks: int = 10) -> Factors:
-    """ALS over (userId, movieId, rating).  It takes 32-bit ids; tables with wider ones are numbered first and their factors named back."""
+    """ALS over (userId, movieId, rating).  It takes 32-bit ids; tables with wider ones are numbered first and their factors named back.
+
+    Item factors are checkpointed in each iteration, at which ALS removes the
+    shuffle files of the one before: disk holds one iteration, not all of them.
+    """
+    keep_checkpoints(train.sparkSession)
     als = ALS(
         rank=rank, maxIter=max_iter, regParam=reg, nonnegative=nonnegative, implicitPrefs=implicit, coldStartStrategy="drop", seed=seed, userCol="userId", itemCol="movieId", ratingCol="rating",
-        numUserBlocks=blocks, numItemBlocks=blocks,
+        numUserBlocks=blocks, numItemBlocks=blocks, checkpointInterval=1,
     )
     rows = train.select("userId", "movieId", F.col("rating").cast("float").alias("rating"))
     widest = rows.agg(*[F.max(F.abs(c)).alias(c) for c in ("userId", "movieId")]).first()

@@ -391,3 +391,12 @@ def test_windows_of_many_targets_equal_brute_force(spark):
     for r in made.collect():
         for key, prefix, windows in (("userId", "user_activity", (7, 30, 90)), ("movieId", "movie_recent", (7, 30))):
             assert [r[f"{prefix}_{w}d"] for w in windows] == [total(r[key], r["target_ts"], w) for w in windows]
+
+
+def test_als_keeps_the_shuffles_of_one_iteration(spark):
+    kept = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    train = spark.range(400).selectExpr("id % 40 AS userId", "id * 7 % 23 AS movieId", "double(id % 9 + 1) / 2 AS rating")
+    before = kept()
+    model = L.train_als(train, rank=4, max_iter=10, seed=1)
+    assert model.userFactors.count() == 40 and model.itemFactors.count() == 23
+    assert kept() - before < 12  # of 20 exchanges of factors and those that make the blocks
