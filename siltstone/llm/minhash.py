@@ -264,7 +264,8 @@ class _Linker:
         once = (F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
         near = _similar(self.percent, F.col("n_a"), F.col("n_b"), F.least("inside_a", "inside_b") + F.least("outside_a", "outside_b"))
         first = F.array_min(F.array_intersect("tokens_a", "tokens_b")) == F.col("token")
-        self.compare(rest.filter((F.col("label_a") != F.col("label_b")) & once & near & first).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+        pairs = rest.filter((F.col("label_a") != F.col("label_b")) & once & near & first).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        self.compare(written(pairs, "near-pairs"))  # written, as is ``posts``: one plan of all would weigh on the driver
 
     def label(self, posts: DataFrame) -> DataFrame:
         """``posts`` with the component of each node, of lists with more than one."""
@@ -301,7 +302,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     posts, _ = _within_reach(linker.label(posts), sets, like.percent)
     linker.compare(meet(posts, "weight").union(meet(posts.join(_main(posts), "token").filter("label <> main"))).distinct())
     posts, reach = _within_reach(linker.label(posts), sets, like.percent)
-    linker.meet_strays(_beside_hubs(posts, sets, reach))
+    linker.meet_strays(written(_beside_hubs(posts, sets, reach), "beside-hubs"))
 
     labels = linker.contract()
     per = classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
