@@ -36,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,8 @@ from .common import drop_written, giving_back, key_name, read, ship, written
 K, T = 24, 9
 #: Posting lists of so many classes or fewer are compared pair by pair, longer ones inside a join; the rule is the same.
 SHORT = 16
+#: So many edges or fewer are made components by one task, more by steps over all; the result is the same.
+FEW_EDGES = 500_000
 #: Classes of a list that one task of the last join meets with the strays.
 SALTED = 256
 #: Texts are worked on in blocks of so many characters.
@@ -165,9 +168,39 @@ def postings(classes: DataFrame) -> DataFrame:
     return per.filter(F.size("list") >= T).select("node", "n", "score", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, label of all edges (a, b) of a task: trees hang themselves on lower ones that an edge leads to."""
+    found = list(batches)
+    if not found:
+        return
+    edges = pa.Table.from_batches(found)
+    both = pa.concat_arrays([c for side in ("a", "b") for c in edges[side].chunks])
+    nodes = pc.unique(both)
+    nodes = nodes.take(pc.sort_indices(nodes))
+    at = pc.index_in(both, nodes).to_numpy(zero_copy_only=False)
+    a, b = at[: len(at) // 2], at[len(at) // 2 :]
+    label, was = np.arange(len(nodes)), None
+    while was is None or (label != was).any():
+        was, x, y = label, label[a], label[b]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    yield from pa.table({"node": nodes, "label": nodes.take(pa.array(label))}).to_batches(max_chunksize=10_000)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """node, label (the component's least node) of all nodes of ``edges`` (a, b), by alternating large and small stars."""
+    """node, label (the component's least node) of all nodes of ``edges`` (a, b).
+
+    A few edges are joined by one task, which spares the driver the stages of the
+    loop; more are, by alternating large and small stars.
+    """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
+    if now.count() <= FEW_EDGES:
+        kind = now.schema["a"].dataType.simpleString()
+        labels = written(now.coalesce(1).mapInArrow(giving_back(_joined), f"node {kind}, label {kind}"), name)
+        drop_written(now)
+        return labels
     state = None
     while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")

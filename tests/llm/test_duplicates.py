@@ -60,6 +60,19 @@ def test_components_equal_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_few_edges_are_joined_in_two_tables_and_as_by_the_loop(spark, monkeypatch):
+    made, written = [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: made.append(name) or written(df, name))
+    rows = [(bytes([255 - i]), bytes([254 - i])) for i in range(60)] + [(b"\x01", b"\x02"), (b"\x03", b"\x02"), (b"\x05", b"\x05")]
+    edges = spark.createDataFrame(rows, "a binary, b binary")
+    got = {(bytes(r["node"]), bytes(r["label"])) for r in minhash.components(edges).collect()}
+    assert len(made) == 2
+    assert got == {(bytes([255 - i]), bytes([195])) for i in range(61)} | {(bytes([i]), b"\x01") for i in (1, 2, 3)}
+    monkeypatch.setattr(minhash, "FEW_EDGES", -1)
+    assert {(bytes(r["node"]), bytes(r["label"])) for r in minhash.components(edges).collect()} == got
+    assert minhash.components(edges.limit(0)).collect() == []
+
+
 def test_far_copies_are_told_apart_by_bounds(spark, monkeypatch):
     """Copies changed too far meet no one set by set; those that are similar to the base alone are linked before the last join."""
     base = text(200)
