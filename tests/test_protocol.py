@@ -198,6 +198,19 @@ def test_louvain_parts_two_cliques(spark):
     assert {made[i] == made[0] for i in range(4)} == {True} == {made[i] == made[10] for i in range(10, 14)} and made[0] != made[10]
 
 
+def test_louvain_of_lists_gives_what_joins_give_and_shuffles_no_sweep(spark, monkeypatch):
+    edges = [(a, b, 1.0 + (a * 7 + b * 3) % 5 / 10) for a in range(36) for b in range(36) if a < b and (a // 9 == b // 9 or (a + 2 * b) % 11 == 0)]
+    frame = spark.createDataFrame([(a - 5, b - 5, s) for a, b, s in edges], "src long, dst long, sim double")
+    tables, write = [], G.written
+    monkeypatch.setattr(G, "written", lambda df, name: tables.append(name) or write(df, name))
+    got = {r["movieId"]: r["label"] for r in G.louvain(frame).collect()}
+    assert "louvain-labels" not in tables and len(got) == 36
+    monkeypatch.setattr(G, "BROADCAST_SPAN", 0)
+    assert {r["movieId"]: r["label"] for r in G.louvain(frame).collect()} == got
+    monkeypatch.undo()
+    assert G.louvain(frame.limit(0)).collect() == []
+
+
 def test_ranker_learns_a_planted_signal(spark):
     rows = [(u, m, int(m == u % 20), 1.0 if m == u % 20 else 0.0, float((u * 7 + m * 13) % 11), None if m % 5 == 0 else 1.0) for u in range(40) for m in range(20)]
     groups = spark.createDataFrame(rows, "userId long, movieId long, label int, signal double, noise double, gaps double")
