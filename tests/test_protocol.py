@@ -413,3 +413,48 @@ def test_als_keeps_the_shuffles_of_one_iteration(spark):
     model = L.train_als(train, rank=4, max_iter=10, seed=1)
     assert model.userFactors.count() == 40 and model.itemFactors.count() == 23
     assert kept() - before < 12  # of 20 exchanges of factors and those that make the blocks
+
+
+@pytest.mark.parametrize("n_bits,band_size", [(64, 8), (128, 4), (192, 8), (12, 4)])
+def test_signs_are_summed_from_words_without_a_row_of_votes(spark, monkeypatch, n_bits, band_size):
+    import hashlib
+    import random
+
+    rng = random.Random(n_bits)
+    rows = sorted({(rng.randrange(200), rng.randrange(30)) for _ in range(400)} | {(u, 99) for u in range(200)})
+    liked = spark.createDataFrame(rows, "userId long, movieId long")
+    digest = lambda u: "".join(bin(int(hashlib.md5(f"7:simhash:{u}:{d}".encode()).hexdigest(), 16))[2:].zfill(128) for d in range(2))
+    votes = {u: [int(x) * 2 - 1 for x in digest(u)] for u in range(200)}
+    sums = {m: [sum(votes[u][b] for u, i in rows if i == m) for b in range(n_bits)] for m in {m for _, m in rows}}
+    want = sorted((m, k, sum((s[k * band_size + i] >= 0) << i for i in range(band_size))) for m, s in sums.items() for k in range(n_bits // band_size))
+    for hot in (S.HOT_LIKES, 12):
+        monkeypatch.setattr(S, "HOT_LIKES", hot)
+        found = S.band_keys(liked, n_bits, band_size, 7)
+        assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(userId" not in plan and "REPARTITION_BY_COL" in plan
+
+
+@pytest.mark.parametrize("bands,width", [(16, 4), (8, 8)])
+def test_items_asked_with_go_to_all_others_without_a_shuffle_by_band(spark, monkeypatch, bands, width):
+    import random
+
+    rng = random.Random(width)
+    rows = [(i, b, rng.choice([0, rng.randrange(1 << width)])) for i in range(60) for b in range(bands)]
+    keys, asked = spark.createDataFrame(rows, "movieId long, band int, key long"), spark.createDataFrame([(3,), (3,), (50,)], "movieId long")
+    of = {i: {(b, k) for j, b, k in rows if j == i} for i in range(60)}
+    want = {q: sorted((a, j) for a in q for j in range(60) if a != j and of[a] & of[j]) for q in ((3, 50), tuple(range(60)))}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = S.lsh_candidates(keys, asked)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(band" not in plan and "hashpartitioning(key" not in plan and "REPARTITION_BY_NUM" in plan
+        assert sorted(map(tuple, found.collect())) == want[3, 50]
+        assert sorted(map(tuple, S.lsh_candidates(keys).collect())) == want[tuple(range(60))]
+        monkeypatch.setattr(S, "BROADCAST_ASKED", 1)
+        many = S.lsh_candidates(keys, asked)
+        assert "hashpartitioning(band" in many._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, many.collect())) == want[3, 50]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
